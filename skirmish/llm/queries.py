@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import parity_join, sharding
+from . import decontaminate, parity_join, sharding, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op2_sharding": sharding.op2_sharding,
     "op10_parity_join": parity_join.op10_parity_join,
 }
