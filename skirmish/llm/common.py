@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 
@@ -11,20 +10,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words as the shingle operators take them: runs of anything but the ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
 #: Rows of one Arrow batch. Texts can be long, so batches are kept small.
 BATCH_ROWS = 512
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 
 
-def ascii_lower(text: str) -> str:
-    """Lower-case A-Z alone; all other characters stay as they are."""
-    if text.isascii():
-        return text.lower()
-    return text.translate(_LOWER)
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8: A-Z lower-cased, runs of anything but space and \\x09-\\x0D (what bytes.split() parts at)."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,35 +72,71 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words; repeated words are looked up. The table is emptied when it is full, so memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         import xxhash
 
         self._digest, self._most, self._known = xxhash.xxh3_64_intdigest, most, {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self._known
-        if len(known) > self._most:
-            known.clear()
-        digest = self._digest
-        out = [known.get(w) for w in words]
+        out = list(map(known.get, words))
         if None in out:
+            digest = self._digest
             for i, v in enumerate(out):
                 if v is None:
                     w = words[i]
-                    out[i] = known[w] = digest(w.encode("utf-8", "surrogatepass"))
-        return np.array(out, dtype=np.uint64)
-
-
-def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles; of the whole sequence where it has fewer words."""
-    k = min(n, len(hashes))
-    if not k:
-        return np.empty(0, np.uint64)
-    m = len(hashes) - k + 1
-    acc = np.full(m, np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64), np.uint64)
-    for j in range(k):
-        acc = mix64(acc + hashes[j : j + m])
-    return np.unique(acc)
+                    if (v := known.get(w)) is None:
+                        if len(known) >= self._most:
+                            known.clear()
+                        known[w] = v = digest(w) - 2**63
+                    out[i] = v
+        return np.fromiter(out, np.int64, len(out)).view(np.uint64)
+
+
+def groups_of(texts: list[str | None], most: int = 1 << 20):
+    """(start, end) of runs of texts of about `most` characters, so that long texts don't add up in memory."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= most:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def shingle_sets(texts: list[str | None], n: int, words: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its n-word shingles, one after another, and their counts.
+
+    A text of fewer words is one shingle; one without words has none.
+    """
+    held: list[bytes] = []
+    counts = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        found = words_of(t)
+        counts[i] = len(found)
+        held += found
+    h = words(held)
+    del held
+    ends = np.cumsum(counts)
+    sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    # places where a shingle starts
+    first = np.repeat(ends - counts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+    at = first + np.arange(len(first))
+    acc = np.full(len(at), np.uint64(0x9E3779B97F4A7C15), np.uint64)
+    left = np.repeat(ends, sizes) - at
+    padded = np.concatenate((h, np.zeros(n, np.uint64)))
+    for j in range(n):
+        acc = mix64(acc + np.where(left > j, padded[at + j] | np.uint64(1), np.uint64(0)))
+    stops = np.cumsum(sizes).tolist()
+    for a, b in zip([0, *stops], stops):
+        acc[a:b].sort()
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    if len(acc):
+        keep = np.ones(len(acc), bool)
+        keep[1:] = (acc[1:] != acc[:-1]) | (owner[1:] != owner[:-1])
+        acc, owner = acc[keep], owner[keep]
+    return acc, np.bincount(owner, minlength=len(texts))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

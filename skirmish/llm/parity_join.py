@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, ascii_lower, checkpointed, connected_components, mix64, read_table, shingle_hashes, stored
+from .common import WordHashes, checkpointed, connected_components, groups_of, mix64, read_table, shingle_sets, stored
 
 #: Each size band's upper end is this much of its lower end.
 BAND = 1.5
@@ -60,107 +60,119 @@ class Bands:
         return 1 + self.differences(band) // 10
 
 
-def piece_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """Index keys of a set, over all bands in which a partner may be."""
-    out = []
-    for band in bands.of(len(shingles)):
-        d = bands.differences(band)
-        if not d:
-            continue  # only equal sets reach the similarity
-        spare = bands.spare(band)
-        pieces = np.uint64(d + 1 + spare)
-        h = mix64(shingles + np.uint64(band))
-        piece = h % pieces
+def piece_keys(shingles: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of the sets that stand one after another in `shingles`, and the set that each key is of."""
+    mine = [bands.of(int(s)) if s else [] for s in sizes]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    keys, owners = [], []
+    for r in range(max(map(len, mine), default=0)):
+        band = np.array([m[r] if r < len(m) else -1 for m in mine], np.int64)
+        differ = np.array([bands.differences(int(b)) if b >= 0 else 0 for b in band], np.int64)
+        spare = np.array([bands.spare(int(b)) if b >= 0 else 0 for b in band], np.int64)
+        use = differ > 0  # else only equal sets reach the similarity
+        pieces = differ + 1 + spare
+        take = use[owner]
+        o = owner[take]
+        if not len(o):
+            continue
+        h = mix64(shingles[take] + band[o].astype(np.uint64))
+        piece = h % pieces[o].astype(np.uint64)
         place = (h >> np.uint64(40)) % np.uint64(PIECE_BITS)
-        order = np.argsort(piece, kind="stable")
-        piece = piece[order]
-        bit = mix64((piece << np.uint64(16)) + place[order] + np.uint64(0x5851F42D4C957F2D))
-        first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
+        slot = (o.astype(np.uint64) << np.uint64(40)) | piece
+        order = np.argsort(slot)
+        slot = slot[order]
+        bit = mix64(((piece << np.uint64(16)) + place)[order] + np.uint64(0x5851F42D4C957F2D))
+        first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
         # XOR of the toggled bits' codes: equal for equal pieces, 0 for an empty one
         digest = np.bitwise_xor.reduceat(bit, first)
         full = digest != 0
-        value = mix64(digest[full] + (piece[first][full] << np.uint64(20)) + np.uint64(band * 2 + 1))
-        out.append(value)
-        if int(pieces) - len(value) > spare:
-            missing = np.setdiff1d(np.arange(int(pieces), dtype=np.uint64), piece[first][full])
-            out.append(mix64((missing << np.uint64(20)) + np.uint64(band * 2)))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+        slot, digest = slot[first][full], digest[full]
+        o, piece = (slot >> np.uint64(40)).astype(np.int64), slot & np.uint64((1 << 40) - 1)
+        code = band.astype(np.uint64) * np.uint64(2)
+        keys.append(mix64(digest + (piece << np.uint64(20)) + code[o] + np.uint64(1)))
+        owners.append(o)
+        empty = np.where(use, pieces - np.bincount(o, minlength=len(sizes)), 0)
+        for i in np.flatnonzero(empty > spare):
+            missing = np.setdiff1d(np.arange(pieces[i], dtype=np.uint64), piece[o == i])
+            keys.append(mix64((missing << np.uint64(20)) + code[i]))
+            owners.append(np.full(len(missing), i))
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _classes(shingles: np.ndarray, sizes: np.ndarray) -> list[int | None]:
+    """Digest of each set, none of an empty one."""
+    import xxhash
 
+    ends = np.cumsum(sizes).tolist()
+    return [xxhash.xxh3_64_intdigest(shingles[a:b].tobytes()) - 2**63 if b > a else None for a, b in zip([0, *ends], ends)]
 
-def _class_of(shingles: np.ndarray) -> int:
-    import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
+def _lists(values: np.ndarray, owners: np.ndarray, n: int) -> pa.ListArray:
+    order = np.argsort(owners, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=n))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[order].view(np.int64)))
 
 
-def _sketcher(n: int, num: int, den: int, keys: bool):
-    """A function over Arrow batches (id, text): the id with its set's size and class, and with the index keys where asked."""
+def _sketched(n: int, num: int, den: int):
+    """Arrow batches (id, digest of the text, text) to id, digest, n_shingles, class and index keys; copies in one task give keys once."""
 
     def run(batches):
         words, bands, seen = WordHashes(), Bands(num, den), set()
         for batch in batches:
-            ids, sizes, classes, lists = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_hashes(words(WORD.findall(ascii_lower(text or ""))), n)
-                sizes.append(len(s))
-                classes.append(_class_of(s) if len(s) else None)
-                if keys and len(s):
-                    # copies in one task put their class into the index once
-                    if classes[-1] in seen:
-                        lists.append(np.empty(0, np.uint64))
-                    else:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(classes[-1])
-                        lists.append(piece_keys(s, bands))
-                else:
-                    lists.append(np.empty(0, np.uint64))
-            if keys:
-                counts = [len(x) for x in lists]
-                yield pa.record_batch([
-                    pa.array(np.concatenate([*lists, np.empty(0, np.uint64)]).view(np.int64)),
-                    pa.array(np.repeat(np.array([c or 0 for c in classes], np.int64), counts)),
-                ], ["key", "cid"])
-            else:
-                yield pa.record_batch([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], ["id", "n_shingles", "cid"])
+            texts = batch.column(2).to_pylist()
+            for a, b in groups_of(texts):
+                shingles, sizes = shingle_sets(texts[a:b], n, words)
+                classes = _classes(shingles, sizes)
+                fresh = np.zeros(b - a, bool)
+                if len(seen) > 500_000:
+                    seen.clear()
+                for i, c in enumerate(classes):
+                    if c is not None and c not in seen:
+                        seen.add(c)
+                        fresh[i] = True
+                keys, owners = piece_keys(shingles[np.repeat(fresh, sizes)], np.where(fresh, sizes, 0), bands)
+                yield pa.record_batch(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _lists(keys, owners, b - a)],
+                    ["id", "digest", "n_shingles", "cid", "keys"],
+                )
 
     return run
 
 
-def _packed(n: int):
-    """Arrow batches (id, text) to one row for each class in the task: its digest and its compressed text."""
+def _packed(batches):
+    """(digest, text) to one row for each digest in the task, with the text compressed."""
+    import zstandard
 
-    def run(batches):
-        import zstandard
-
-        words, seen, pack = WordHashes(), set(), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            classes, blobs = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_hashes(words(WORD.findall(ascii_lower(text or ""))), n)
-                if len(s) and (c := _class_of(s)) not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(c)
-                    classes.append(c)
-                    blobs.append(pack.compress(text.encode("utf-8", "surrogatepass")))
-            yield pa.record_batch([pa.array(classes, pa.int64()), pa.array(blobs, pa.binary())], ["cid", "blob"])
-
-    return run
+    seen, pack = set(), zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        digests, blobs = [], []
+        for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if d not in seen:
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(d)
+                digests.append(d)
+                blobs.append(pack.compress((text or "").encode("utf-8", "surrogatepass")))
+        yield pa.record_batch([pa.array(digests, pa.int64()), pa.array(blobs, pa.binary())], ["digest", "blob"])
 
 
 def _unpacked(n: int):
+    """(blob) to class and shingle set."""
+
     def run(batches):
         import zstandard
 
         words, unpack = WordHashes(), zstandard.ZstdDecompressor()
         for batch in batches:
-            sets = []
-            for blob in batch.column(1).to_pylist():
-                text = unpack.decompress(blob).decode("utf-8", "surrogatepass")
-                sets.append(shingle_hashes(words(WORD.findall(ascii_lower(text))), n).view(np.int64))
-            ends = np.cumsum([0, *map(len, sets)])
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], ["cid", "shingles"])
+            texts = [unpack.decompress(blob).decode("utf-8", "surrogatepass") for blob in batch.column(0).to_pylist()]
+            for a, b in groups_of(texts):
+                shingles, sizes = shingle_sets(texts[a:b], n, words)
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                yield pa.record_batch(
+                    [pa.array(_classes(shingles, sizes), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shingles.view(np.int64)))], ["cid", "shingles"]
+                )
 
     return run
 
@@ -175,19 +187,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row: id, n_shingles, class (cid) and component_id, the smallest id reachable over links of num / den or more."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    rows = stored(texts.mapInArrow(_sketcher(n, num, den, False), f"id {id_type}, n_shingles long, cid long"), "parity-rows")
-    entries = texts.mapInArrow(_sketcher(n, num, den, True), "key long, cid long")
+    rows = stored(texts.mapInArrow(_sketched(n, num, den), f"id {id_type}, digest long, n_shingles long, cid long, keys array<long>"), "parity-rows")
+    entries = rows.select(F.explode("keys").alias("key"), "cid")
 
     # Buckets of more than one class, each entry with the bucket's smallest class.
     per_key = F.min("cid").over(_by_key()).alias("lead"), F.max("cid").over(_by_key()).alias("last")
     shared = checkpointed(entries.select("key", "cid", *per_key).where("lead != last").select("key", "cid", "lead").distinct())
     stars = shared.where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
 
-    wanted = shared.select("cid").distinct()
-    blobs = texts.mapInArrow(_packed(n), "cid long, blob binary").join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
-    sets = stored(blobs.mapInArrow(_unpacked(n), "cid long, shingles array<long>"), "parity-sets")
+    wanted = rows.where("size(keys) > 0").select("cid", "digest").join(shared.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("digest").alias("digest"))
+    blobs = texts.select("digest", "text").mapInArrow(_packed, "digest long, blob binary").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    sets = stored(blobs.select("blob").mapInArrow(_unpacked(n), "cid long, shingles array<long>").dropDuplicates(["cid"]), "parity-sets")
     links = checkpointed(_verified(stars, sets, num, den))
     roots = connected_components(links)
 
