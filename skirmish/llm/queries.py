@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, parity_join, sharding, toxicity
+from . import decontaminate, packing, parity_join, pii, sharding, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op2_sharding": sharding.op2_sharding,
+    "op7_packing": packing.op7_packing,
+    "op8_pii": pii.op8_pii,
     "op10_parity_join": parity_join.op10_parity_join,
 }
 
