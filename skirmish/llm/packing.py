@@ -2,7 +2,7 @@
 
 The texts of a partition, each followed by an end id, form one stream of token ids in the order of the rows. It is
 cut into windows of at most 2048 ids. A window may end at a document's end for nothing, at a sentence's end for a
-small penalty, and inside a sentence (a stretch of more than 256 ids without an end) for a larger one; the sum of
+small penalty, and inside a sentence (a stretch of more than 64 ids without an end) for a larger one; the sum of
 padding and penalties is least:
 
     cost(j) = penalty(j) + 2048 - t(j) + min over i, t(j) - t(i) <= 2048, of cost(i) + t(i)
@@ -30,7 +30,7 @@ from .common import read_table
 
 WINDOW, END = 2048, 1
 #: Penalties, in ids of padding, of a cut at a sentence's end and inside a sentence; the longest stretch without a place to cut.
-SENTENCE, HARD, STRETCH = 12.0, 48.0, 256
+SENTENCE, HARD, STRETCH = 6.0, 24.0, 64
 #: Ids that are solved at once.
 BLOCK = 1 << 18
 SPECIAL = "<|endoftext|>"
