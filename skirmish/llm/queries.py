@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, parity_join, pii, sharding, toxicity
+from . import decontaminate, licenses, packing, parity_join, pii, sharding, toxicity, url_filter
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op2_sharding": sharding.op2_sharding,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_packing": packing.op7_packing,
     "op8_pii": pii.op8_pii,
+    "op9_licenses": licenses.op9_licenses,
     "op10_parity_join": parity_join.op10_parity_join,
 }
 
