@@ -1,8 +1,8 @@
 """URL filters from association rules.
 
 Hand-written rules judge some addresses. Those are the labelled transactions: FP-growth mines the token combinations
-that are frequent among them, and the combinations that lead to `block` often enough are kept, unless a part of one
-does so as surely. The rest of the addresses is judged by the mined rules, which are found through an inverted index:
+that are frequent among them, and the combinations of host and path tokens that lead to `block` often enough are kept, unless
+a part of one does so as surely; tokens that nearly all addresses have are no part of a rule. The rest of the addresses is judged by the mined rules, which are found through an inverted index:
 each rule hangs on one of its tokens, and only rules of an address's own tokens are looked at.
 
 Edge cases: a null address, or one without `://`, has an empty host and path, fits no rule and is allowed unless a
@@ -26,7 +26,9 @@ RULES = (
     ("block", "org", "/es/"),
 )
 #: Share of the labelled addresses that must hold a combination; share of those with it that must be blocked; tokens in a combination.
-SUPPORT, CONFIDENCE, LONGEST = 0.005, 0.8, 3
+SUPPORT, CONFIDENCE, LONGEST = 0.005, 0.85, 3
+#: A token of more than this share of the labelled addresses says nothing about one.
+COMMON = 0.9
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,14 +50,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens_of(host: Column, path: Column) -> Column:
-    """Distinct tokens of an address: labels of the host, segments of the path with their depth, numbers by their first digit and length."""
+    """Distinct tokens of an address: labels of the host, segments of the path with their depth, numbers alike."""
     labels = F.transform(F.filter(F.split(host, r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("h:"), x))
     top = F.array(F.concat(F.lit("top:"), F.element_at(F.split(host, r"\."), -1)))
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
     shaped = F.transform(
         segments,
         lambda x, i: F.concat(
-            F.lit("p"), i.cast("string"), F.lit(":"), F.when(x.rlike(r"^\d+"), F.concat(x.substr(1, 1), F.lit("#"), F.length(F.regexp_extract(x, r"^\d+", 0)).cast("string"))).otherwise(F.lower(x))
+            F.lit("p"), i.cast("string"), F.lit(":"), F.regexp_replace(F.lower(x), r"\d+", "#")
         ),
     )
     return F.array_distinct(F.concat(labels, top, shaped))
@@ -72,6 +74,9 @@ def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CON
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict:"), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0] == "verdict:block").where(F.size("antecedent") <= LONGEST)
+    common = model.freqItemsets.where("size(items) = 1").where(F.col("freq") > COMMON * labelled.count()).agg(F.collect_list(F.col("items")[0]).alias("common"))
+    rules = rules.crossJoin(F.broadcast(common)).where(~F.arrays_overlap("antecedent", "common"))  # one row, of fewer tokens than an address can have
+    rules = rules.where(F.exists("antecedent", lambda x: x.rlike("^(h|top):")) & F.exists("antecedent", lambda x: x.rlike(r"^p\d+:")))
     rules = rules.where(~F.exists("antecedent", lambda x: x.startswith("verdict:"))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     # a rule goes when a part of it is as sure: the parts are looked up through their own tokens
     whole = stored(rules, "url-rules")
