@@ -9,7 +9,7 @@ logistic curve over the best segment and the number of significant ones gives th
 
 Counts live in two hashed tables of fixed size (the lesser count holds), so what is broadcast never grows with the
 corpus. Counts and the background cover all labelled training texts, equal texts counted once; the logistic curve
-is fitted on `FIT_ROWS` of them at most.
+is fitted on about `FIT_ROWS` of them, twice as many at most.
 
 Edge cases: null and empty texts have no segment and get the curve's value at nothing; without labels of both kinds
 all scores are 0; unlabelled rows and rows with null labels teach nothing; rows repeat as they are; extra columns
@@ -19,7 +19,8 @@ are not read.
 from __future__ import annotations
 
 import math
-import re
+from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import mix64, read_table, stored
 
-TOKEN = re.compile(r"\w+")
+#: ASCII characters other than letters and digits part words.
+_PARTS = bytes(c if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 STEMS = (4, 6)
 #: Buckets of each hashed table; strength of the prior, in words; what is taken off every score.
 BUCKETS, STRENGTH, DRIFT = 1 << 20, 12.0, 0.5
-#: Rows that the logistic curve is fitted on, at most.
+#: Rows that the logistic curve is fitted on, about.
 FIT_ROWS = 50_000
 #: Bins of the background's histogram of scores, and their width.
 BINS, WIDTH = 400, 0.05
@@ -40,6 +42,10 @@ BINS, WIDTH = 400, 0.05
 SIGNIFICANT = 0.05
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_PARTS).split() if text else []
+
+
 def features(word: str) -> list[str]:
     """The word and its stems, the longest first, each marked by its kind."""
     out = ["w" + word]
@@ -57,15 +63,13 @@ def _places(feature: str) -> tuple[int, int]:
 
 
 def _packed(batches):
-    """(id, text) to (id, text's digest, compressed text)."""
-    import xxhash
+    """(id, text) to (id, compressed text)."""
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-        digest = [xxhash.xxh3_64_intdigest(b) - 2**63 for b in raw]
-        yield pa.record_batch([batch.column(0), pa.array(digest, pa.int64()), pa.array([pack.compress(b) for b in raw], pa.binary())], ["id", "digest", "blob"])
+        blobs = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], ["id", "blob"])
 
 
 def _texts(column):
@@ -76,56 +80,72 @@ def _texts(column):
         yield unpack.decompress(blob).decode("utf-8", "surrogatepass")
 
 
+#: Words that a task counts before it adds them to its buckets.
+_TALLIED = 200_000
+
+
 def _count(batches):
-    """(blob, toxic) to the counts of each bucket in the task."""
+    """(blob, toxic) to the counts of each bucket in the task. A word counts once a text: repeats are no further evidence."""
     sums = np.zeros((2, 2 * BUCKETS), np.int64)
-    known: dict[str, np.ndarray] = {}
+    tallies: tuple[Counter, Counter] = Counter(), Counter()
+
+    def emptied():
+        for which, tally in enumerate(tallies):
+            for word, k in tally.items():
+                for f in features(word.decode("utf-8", "surrogatepass")):
+                    for at in _places(f):
+                        sums[0, at] += k
+                        if which:
+                            sums[1, at] += k
+            tally.clear()
+
     for batch in batches:
         for text, toxic in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            tally: dict[str, int] = {}
-            for w in TOKEN.findall(text.lower()):
-                tally[w] = tally.get(w, 0) + 1
-            if len(known) > 300_000:
-                known.clear()
-            for w in tally:
-                if (at := known.get(w)) is None:
-                    known[w] = at = np.array([p for f in features(w) for p in _places(f)])
-                # a word counts once a text: repeats in one text are no further evidence
-                sums[0, at] += 1
-                if toxic:
-                    sums[1, at] += 1
+            tallies[bool(toxic)].update(set(words_of(text)))
+            if len(tallies[0]) + len(tallies[1]) > _TALLIED:
+                emptied()
+    emptied()
     at = np.flatnonzero(sums[0])
     for k in range(0, len(at), 100_000):
         part = at[k : k + 100_000]
         yield pa.record_batch([pa.array(part), pa.array(sums[0, part]), pa.array(sums[1, part])], ["bucket", "n", "t"])
 
 
-class Model:
-    """Scores of words, from the two tables of counts."""
+class Model(dict):
+    """Scores of words (UTF-8), from the two tables of counts; looked up words are kept, up to a bound."""
 
     def __init__(self, n: np.ndarray, t: np.ndarray, base: float):
-        self.n, self.t, self.base = n, t, base
-        self._known: dict[str, float] = {}
-
-    def word(self, word: str) -> float:
-        rate = self.base
-        for f in reversed(features(word)):
-            a, b = _places(f)
-            if self.n[b] < self.n[a]:
-                a = b
-            rate = (self.t[a] + STRENGTH * rate) / (self.n[a] + STRENGTH)
-        return math.log(rate / (1 - rate)) - math.log(self.base / (1 - self.base)) - DRIFT
-
-    def scores(self, text: str) -> np.ndarray:
-        known, words = self._known, TOKEN.findall(text.lower())
-        if len(known) > 400_000:
-            known.clear()
-        out = [known.get(w) for w in words]
-        if None in out:
-            for i, v in enumerate(out):
-                if v is None:
-                    out[i] = known[words[i]] = self.word(words[i])
-        return np.array(out, np.float64)
+        self.n, self.t, self.base = array("i", n.tobytes()), array("i", t.tobytes()), base
+        self.stems: dict[str, float] = {}
+        self.zero = math.log(base / (1 - base)) + DRIFT
+
+    def rate(self, feature: str, prior: float) -> float:
+        """Share of toxic texts among those with the feature, drawn to the prior's."""
+        a, b = _places(feature)
+        if self.n[b] < self.n[a]:
+            a = b
+        return (self.t[a] + STRENGTH * prior) / (self.n[a] + STRENGTH)
+
+    def stem(self, stems: list[str]) -> float:
+        if not stems:
+            return self.base
+        if (out := self.stems.get(stems[0])) is None:
+            if len(self.stems) > 200_000:
+                self.stems.clear()
+            self.stems[stems[0]] = out = self.rate(stems[0], self.stem(stems[1:]))
+        return out
+
+    def __missing__(self, word: bytes) -> float:
+        whole, *stems = features(word.decode("utf-8", "surrogatepass"))
+        rate = self.rate(whole, self.stem(stems))
+        if len(self) > 250_000:
+            self.clear()
+        self[word] = out = math.log(rate / (1 - rate)) - self.zero
+        return out
+
+    def scores(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -168,20 +188,23 @@ class Chance:
         # share of places where a segment can begin: those with a positive score
         self.k = max(float(p[mids > 0].sum()), 1e-6)
 
-    def expected(self, score: float, length: int) -> float:
-        return self.k * max(1, length) * math.exp(-self.rate * score)
+    def surprise(self, score: float, length: int) -> float:
+        """-ln of that number."""
+        return self.rate * score - math.log(self.k * max(1, length))
 
 
-def summary(model: Model, chance: Chance, text: str) -> tuple[float, int, int, int]:
+def summary(model: Model, chance: Chance, text: str | None) -> tuple[float, int, int, int]:
     """-ln of the best segment's expected number (at least 0), number of significant segments, the best one's bounds."""
     s = model.scores(text)
-    best, many, start, end = 0.0, 0, 0, 0
-    for score, a, b in segments(s):
-        e = chance.expected(score, len(s))
-        many += e < SIGNIFICANT
-        if (x := -math.log(max(e, 1e-300))) > best:
-            best, start, end = x, a, b
-    return best, many, start, end
+    found = segments(s)
+    if not found:
+        return 0.0, 0, 0, 0
+    score, start, end = max(found, key=lambda x: (x[0], -x[1]))
+    best = chance.surprise(score, len(s))
+    if best <= 0:
+        return 0.0, 0, 0, 0
+    least = -math.log(SIGNIFICANT)
+    return best, sum(chance.surprise(x[0], len(s)) > least for x in found), start, end
 
 
 def _design(best, many):
@@ -204,10 +227,12 @@ def train(texts: DataFrame, labels: DataFrame):
     """Learn from rows (id, text) whose id has a label (id, toxic): the tables, the background and the curve, or None."""
     spark = texts.sparkSession
     id_type = texts.schema["id"].dataType.simpleString()
-    packed = texts.mapInArrow(_packed, f"id {id_type}, digest long, blob binary")
     known = labels.where("toxic is not null and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    per_text = packed.join(known, "id").groupBy("digest").agg(F.first("blob").alias("blob"), F.avg("toxic").alias("toxic"))
-    learned = stored(per_text.select("digest", "blob", (F.col("toxic") >= 0.5).cast("int").alias("toxic")), "toxicity-labelled")
+    digests = texts.select("id", F.xxhash64("text").alias("digest")).join(known, "id")
+    # equal texts are one, by the id of one of them; a merge join at every size, for the texts' side is never small
+    chosen = digests.groupBy("digest").agg(F.min("id").alias("id"), F.avg("toxic").alias("toxic")).groupBy("id").agg(F.max((F.col("toxic") >= 0.5).cast("int")).alias("toxic"))
+    packed = texts.mapInArrow(_packed, f"id {id_type}, blob binary")
+    learned = stored(packed.join(chosen.hint("merge"), "id").select("id", "blob", "toxic"), "toxicity-labelled")
 
     sums = learned.select("blob", "toxic").mapInArrow(_count, "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     found = sums.toArrow()  # 2 * BUCKETS rows at most
@@ -238,7 +263,9 @@ def train(texts: DataFrame, labels: DataFrame):
             got = [summary(model, chance, text)[:2] for text in _texts(batch.column(0))]
             yield pa.record_batch([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), batch.column(1)], ["best", "many", "toxic"])
 
-    sample = learned.orderBy("digest").limit(FIT_ROWS).select("blob", "toxic").mapInArrow(points, "best double, many long, toxic int").toArrow()
+    # an even share of the ids, so that about FIT_ROWS rows are looked at
+    share = int(1_000_000 * min(1.0, FIT_ROWS / max(1, learned.count())))
+    sample = learned.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("blob", "toxic").mapInArrow(points, "best double, many long, toxic int").limit(2 * FIT_ROWS).toArrow()
     curve = fit_curve(*(sample[c].to_numpy().astype(float) for c in ("best", "many", "toxic")))
     return sent, chance, curve
 
@@ -254,7 +281,7 @@ def score(texts: DataFrame, model) -> DataFrame:
     def run(batches):
         words = Model(*sent.value)
         for batch in batches:
-            got = [summary(words, chance, text or "") for text in batch.column(1).to_pylist()]
+            got = [summary(words, chance, text) for text in batch.column(1).to_pylist()]
             best, many, start, end = (np.array([g[i] for g in got], float if not i else np.int64) for i in range(4))
             p = 1 / (1 + np.exp(-_design(best, many) @ curve))
             yield pa.record_batch([batch.column(0), pa.array(p), pa.array(many), pa.array(start), pa.array(end)], names)
