@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, parity_join, pii, sharding, toxicity, url_filter
+from . import decontaminate, embedding_dedup, licenses, packing, parity_join, pii, sharding, toxicity, url_filter
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op2_sharding": sharding.op2_sharding,
