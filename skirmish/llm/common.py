@@ -139,6 +139,20 @@ def shingle_sets(texts: list[str | None], n: int, words: WordHashes) -> tuple[np
     return acc, np.bincount(owner, minlength=len(texts))
 
 
+def runs(batches, width: int):
+    """Rows of sorted Arrow batches in runs that agree in the first `width` columns."""
+    held, key = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:width] != key:
+                if held:
+                    yield held
+                held, key = [], row[:width]
+            held.append(row)
+    if held:
+        yield held
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node that each node of `edges` can reach: columns node, root.
 

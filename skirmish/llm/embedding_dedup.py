@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, mix64, read_table, stored
+from .common import checkpointed, connected_components, mix64, read_table, runs, stored
 
 #: Least probability that a pair at the threshold meets in a bucket; the bound's width; bits of a code at least.
 RECALL, EPS, CODE_BITS = 0.995, 3.0, 256
-#: Vectors of a cluster that are compared in one piece of work; vectors of a bucket up to which all pairs are estimated at once.
-BLOCK, SMALL = 1024, 8
+#: Vectors of a cluster that are compared in one piece of work; vectors of a bucket
+#: up to which all pairs are estimated at once; vectors of a bucket that one piece of work takes.
+BLOCK, SMALL, BUCKET = 1024, 8, 8192
 
 
 def layout(n: int, threshold: float) -> tuple[int, int]:
@@ -147,26 +148,12 @@ class _Bucket:
         return list(zip(self.cid[i[near]].tolist(), self.cid[j[near]].tolist(), strict=True))
 
 
-def _runs(batches, most: int, width: int):
-    """Rows of sorted batches in runs of one key (the first `width` columns); longer runs than `most` come in parts."""
-    held, key = [], None
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:width] != key or len(held) >= most:
-                if held:
-                    yield held
-                held, key = [], row[:width]
-            held.append(row)
-    if held:
-        yield held
-
-
-def _bucketed(threshold: float, most: int):
+def _bucketed(threshold: float):
     def run(batches):
         out: list[tuple[int, int]] = []
-        for rows in _runs(batches, most, 1):
+        for rows in runs(batches, 3):
             if len(rows) > 1:
-                out += _Bucket(rows).edges(threshold)
+                out += _Bucket([r[2:] for r in rows]).edges(threshold)
             if len(out) > 20_000:
                 yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
                 out = []
@@ -179,7 +166,7 @@ def _exact(threshold: float):
     """(root, i, j, block, cid, mult, vector) sorted by root, i, j to (cid, links found here, smallest cid linked here)."""
 
     def run(batches):
-        for rows in _runs(batches, 1 << 30, 3):
+        for rows in runs(batches, 3):
             x = np.stack(_unit(pa.array([r[6] for r in rows])))
             cid, mult = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
             block = np.array([r[3] for r in rows])
@@ -211,7 +198,14 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     schema = "key long, cid long, dim int, code binary, factor binary, small binary, scale double"
     index = classes.select("cid", "vector").mapInArrow(_coder(bits, tables), schema)
-    edges = index.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_bucketed(threshold, 1 << 15), "a long, b long").distinct()
+    # Buckets beyond BUCKET vectors are dealt out in pairs of blocks.
+    large = index.select("key").groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.ceil(F.col("count") / BUCKET).cast("long").alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1)).cast("long")
+    index = index.join(large, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
+    index = index.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    index = index.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "cid", "dim", "code", "factor", "small", "scale")
+    edges = index.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid").select("key", "i", "j", "cid", "dim", "code", "factor", "small", "scale")
+    edges = edges.mapInArrow(_bucketed(threshold), "a long, b long").distinct()
     clusters = connected_components(checkpointed(edges))
 
     sized = clusters.join(clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "root")

@@ -7,10 +7,11 @@ most d of them, so they agree in E + 1 pieces at least, and in one that isn't em
 empty pieces (such a set puts its empty pieces into the index too). Sets that share a piece are candidates, and
 candidates are verified on their whole shingle sets.
 
-Groups stay small work: equal sets are one class before anything is joined; in a bucket each class is first
-verified against the bucket's smallest class, then only pairs of classes that are not yet in one component are
-compared. So a group of m near copies costs about m comparisons for each of its pieces, and no link between
-different components can be missed.
+Groups stay small work: equal sets are one class before anything is joined. In a bucket the Hamming distance of
+whole sketches turns most pairs away; of the others only enough to join what hangs together goes on to be verified,
+then, once the verified links' components are known, all those between different components. So a group of m near
+copies costs about m verifications for each of its pieces, and no link between different components is missed.
+Buckets beyond a bound are dealt out in pairs of blocks.
 
 Edge cases: a null or empty text has an empty set and links with nothing; a text with fewer words than a shingle is
 one shingle; rows with equal or null ids are each returned; an empty table gives an empty result. Classes are named
@@ -26,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, connected_components, groups_of, mix64, read_table, shingle_sets, stored
+from .common import WordHashes, checkpointed, connected_components, groups_of, mix64, read_table, runs, shingle_sets, stored
 
 #: Each size band's upper end is this much of its lower end.
 BAND = 1.5
-#: Bits of each piece of a sketch.
-PIECE_BITS = 4096
+#: Bits of each piece of a sketch; classes of a bucket that one piece of work compares.
+PIECE_BITS, BLOCK = 4096, 4096
 
 
 class Bands:
@@ -158,8 +159,82 @@ def _packed(batches):
         yield pa.record_batch([pa.array(digests, pa.int64()), pa.array(blobs, pa.binary())], ["digest", "blob"])
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity sketch of a set, of two to four bits an element, as bytes of a power of two."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    places = (mix64(shingles ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, the longer ones folded by XOR to the shortest one's length."""
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least // 8), np.uint64)
+    for i, raw in enumerate(sketches):
+        words = np.frombuffer(raw, np.uint64)
+        out[i] = words if len(raw) == least else np.bitwise_xor.reduce(words.reshape(-1, least // 8), axis=0)
+    return out
+
+
+def _near(num: int, den: int):
+    """Rows (key, i, j, block, cid, root, size, sketch) sorted by key, i and j to pairs (a, b) that may be links.
+
+    Where roots are null: enough pairs to join all that hangs together. Else: all pairs of different roots.
+    """
+
+    def pairs(rows):
+        cid, size = np.array([r[4] for r in rows]), np.array([r[6] for r in rows])
+        flat = folded([r[7] for r in rows])
+        across = rows[0][1] != rows[0][2]
+        block = np.array([r[3] for r in rows])
+
+        def close(k: int, others: np.ndarray) -> np.ndarray:
+            if across:
+                others = others[block[others] != block[k]]
+            most = (size[others] + size[k]) * (den - num) // (den + num)
+            fits = (num * size[others] <= den * size[k]) & (num * size[k] <= den * size[others])
+            return others[fits & (np.bitwise_count(flat[others] ^ flat[k]).sum(1) <= most)]
+
+        every, out = np.arange(len(rows)), []
+        if rows[0][5] is None:
+            hit = close(0, every[1:])
+            out += [(cid[0], cid[h]) for h in hit]
+            joined = np.zeros(len(rows), bool)
+            joined[hit] = joined[0] = True
+            group = np.arange(len(rows))
+            group[hit] = 0
+            for k in np.flatnonzero(~joined):
+                hit = close(k, np.delete(every, k))
+                _, first = np.unique(group[hit], return_index=True)
+                for h in hit[first]:
+                    if group[h] != group[k]:
+                        out.append((cid[k], cid[h]))
+                        group[group == group[h]] = group[k]
+        else:
+            root = np.array([r[5] for r in rows])
+            kinds, of, many = np.unique(root, return_inverse=True, return_counts=True)
+            rest = np.flatnonzero(of != many.argmax())
+            for k in rest:
+                # two rows outside the largest component meet once
+                hit = close(k, every[(root != root[k]) & ((of == many.argmax()) | (every > k))])
+                out += [(cid[k], cid[h]) for h in hit]
+        return [(int(min(a, b)), int(max(a, b))) for a, b in out]
+
+    def run(batches):
+        out: list[tuple[int, int]] = []
+        for rows in runs(batches, 3):
+            if len(rows) > 1:
+                out += pairs(rows)
+            if len(out) > 20_000:
+                yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
+                out = []
+        yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _unpacked(n: int):
-    """(blob) to class and shingle set."""
+    """(blob) to class, shingle set, its size and its sketch."""
 
     def run(batches):
         import zstandard
@@ -170,9 +245,12 @@ def _unpacked(n: int):
             for a, b in groups_of(texts):
                 shingles, sizes = shingle_sets(texts[a:b], n, words)
                 ends = np.concatenate(([0], np.cumsum(sizes)))
+                sketches = [sketch(shingles[x:y]) for x, y in zip(ends, ends[1:])]
                 yield pa.record_batch(
-                    [pa.array(_classes(shingles, sizes), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shingles.view(np.int64)))], ["cid", "shingles"]
-                )
+                    [
+                        pa.array(_classes(shingles, sizes), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shingles.view(np.int64))),
+                        pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()),
+                    ], ["cid", "shingles", "size", "sketch"])
 
     return run
 
@@ -185,6 +263,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return sizes.where(f"{den} * both >= {num} * (na + nb - both)").select("a", "b")
 
 
+def _candidates(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the buckets' classes that their sketches don't part."""
+    rows = entries.join(sets.select("cid", "size", "sketch"), "cid")
+    rows = rows.select("key", F.pmod(F.xxhash64("cid"), "blocks").alias("block"), "cid", "root", "size", "sketch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "root", "size", "sketch")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid").mapInArrow(_near(num, den), "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row: id, n_shingles, class (cid) and component_id, the smallest id reachable over links of num / den or more."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
@@ -192,25 +278,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = stored(texts.mapInArrow(_sketched(n, num, den), f"id {id_type}, digest long, n_shingles long, cid long, keys array<long>"), "parity-rows")
     entries = rows.select(F.explode("keys").alias("key"), "cid")
 
-    # Buckets of more than one class, each entry with the bucket's smallest class.
-    per_key = F.min("cid").over(_by_key()).alias("lead"), F.max("cid").over(_by_key()).alias("last")
-    shared = checkpointed(entries.select("key", "cid", *per_key).where("lead != last").select("key", "cid", "lead").distinct())
-    stars = shared.where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
+    # Buckets of more than one class, with about how many they have.
+    per_key = F.min("cid").over(_by_key()).alias("lead"), F.max("cid").over(_by_key()).alias("last"), F.count(F.lit(1)).over(_by_key()).alias("many")
+    shared = entries.select("key", "cid", *per_key).where("lead != last").select("key", "cid", F.ceil(F.col("many") / BLOCK).cast("long").alias("blocks"))
+    shared = checkpointed(shared.groupBy("key", "cid").agg(F.max("blocks").alias("blocks")))
 
     wanted = rows.where("size(keys) > 0").select("cid", "digest").join(shared.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("digest").alias("digest"))
     blobs = texts.select("digest", "text").mapInArrow(_packed, "digest long, blob binary").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
-    sets = stored(blobs.select("blob").mapInArrow(_unpacked(n), "cid long, shingles array<long>").dropDuplicates(["cid"]), "parity-sets")
-    links = checkpointed(_verified(stars, sets, num, den))
-    roots = connected_components(links)
+    sets = stored(blobs.select("blob").mapInArrow(_unpacked(n), "cid long, shingles array<long>, size long, sketch binary").dropDuplicates(["cid"]), "parity-sets")
 
+    links = checkpointed(_verified(_candidates(shared.withColumn("root", F.lit(None).cast("long")), sets, num, den), sets, num, den))
+    roots = connected_components(links)
     # What is left: pairs of a bucket in different components. Only buckets that hold two components take part.
-    placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "lead", F.coalesce("root", "cid").alias("root"))
-    mixed = checkpointed(
-        placed.select("key", "cid", "lead", "root", F.min("root").over(_by_key()).alias("r0"), F.max("root").over(_by_key()).alias("r1")).where("r0 != r1").select("key", "cid", "lead", "root")
-    )
-    left, right = mixed.select("key", F.col("cid").alias("a"), F.col("root").alias("ra"), "lead"), mixed.select("key", F.col("cid").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "key").where("a < b and ra != rb and a != lead and b != lead").select("a", "b").distinct()
-    links = links.union(checkpointed(_verified(rest, sets, num, den)))
+    placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    mixed = placed.select("*", F.min("root").over(_by_key()).alias("r0"), F.max("root").over(_by_key()).alias("r1")).where("r0 != r1").drop("r0", "r1")
+    links = links.union(checkpointed(_verified(_candidates(mixed, sets, num, den).join(links, ["a", "b"], "left_anti"), sets, num, den)))
     roots = connected_components(links)
 
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("least"))
