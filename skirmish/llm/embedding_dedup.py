@@ -32,7 +32,7 @@ from .common import checkpointed, connected_components, mix64, read_table, runs,
 RECALL, EPS, CODE_BITS = 0.995, 3.0, 256
 #: Vectors of a cluster that are compared in one piece of work; vectors of a bucket
 #: up to which all pairs are estimated at once; vectors of a bucket that one piece of work takes.
-BLOCK, SMALL, BUCKET = 1024, 8, 8192
+BLOCK, SMALL, BUCKET = 256, 8, 8192
 
 
 def layout(n: int, threshold: float) -> tuple[int, int]:
