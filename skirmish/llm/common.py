@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,14 +49,26 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    swept(out.sparkSession)
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    swept(out.sparkSession)
+    return out
+
+
+def swept(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files that nothing refers to any more: it waits for the driver's collector."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -183,6 +183,22 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`docs` without the rows in whose text an item occurs within its budget."""
+    at = docs.columns.index(text_col)
+    schema = docs.schema
+    for block in _blocks(items.select(item_col, item_text), block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, sent=sent):
+            match = Matcher(sent.value, share)
+            for batch in batches:
+                yield batch.filter(pa.array([not match(text) for text in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "distance", "start", "end")

@@ -110,19 +110,28 @@ def _classes(shingles: np.ndarray, sizes: np.ndarray) -> list[int | None]:
     return [xxhash.xxh3_64_intdigest(shingles[a:b].tobytes()) - 2**63 if b > a else None for a, b in zip([0, *ends], ends)]
 
 
-def _lists(values: np.ndarray, owners: np.ndarray, n: int) -> pa.ListArray:
-    order = np.argsort(owners, kind="stable")
-    ends = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=n))))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[order].view(np.int64)))
+def _sized(n: int):
+    """Arrow batches (id, digest of the text, text) to id, digest, n_shingles and class."""
+
+    def run(batches):
+        words = WordHashes()
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in groups_of(texts):
+                shingles, sizes = shingle_sets(texts[a:b], n, words)
+                classes = pa.array(_classes(shingles, sizes), pa.int64())
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes, pa.int64()), classes], ["id", "digest", "n_shingles", "cid"])
+
+    return run
 
 
-def _sketched(n: int, num: int, den: int):
-    """Arrow batches (id, digest of the text, text) to id, digest, n_shingles, class and index keys; copies in one task give keys once."""
+def _keyed(n: int, num: int, den: int):
+    """Arrow batches (text) to index entries (key, class); copies in one task give theirs once."""
 
     def run(batches):
         words, bands, seen = WordHashes(), Bands(num, den), set()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(0).to_pylist()
             for a, b in groups_of(texts):
                 shingles, sizes = shingle_sets(texts[a:b], n, words)
                 classes = _classes(shingles, sizes)
@@ -134,10 +143,7 @@ def _sketched(n: int, num: int, den: int):
                         seen.add(c)
                         fresh[i] = True
                 keys, owners = piece_keys(shingles[np.repeat(fresh, sizes)], np.where(fresh, sizes, 0), bands)
-                yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _lists(keys, owners, b - a)],
-                    ["id", "digest", "n_shingles", "cid", "keys"],
-                )
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.array([c or 0 for c in classes], np.int64)[owners])], ["key", "cid"])
 
     return run
 
@@ -275,15 +281,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row: id, n_shingles, class (cid) and component_id, the smallest id reachable over links of num / den or more."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    rows = stored(texts.mapInArrow(_sketched(n, num, den), f"id {id_type}, digest long, n_shingles long, cid long, keys array<long>"), "parity-rows")
-    entries = rows.select(F.explode("keys").alias("key"), "cid")
+    rows = stored(texts.mapInArrow(_sized(n), f"id {id_type}, digest long, n_shingles long, cid long"), "parity-rows")
+    entries = texts.select("text").mapInArrow(_keyed(n, num, den), "key long, cid long")
 
     # Buckets of more than one class, with about how many they have.
     per_key = F.min("cid").over(_by_key()).alias("lead"), F.max("cid").over(_by_key()).alias("last"), F.count(F.lit(1)).over(_by_key()).alias("many")
     shared = entries.select("key", "cid", *per_key).where("lead != last").select("key", "cid", F.ceil(F.col("many") / BLOCK).cast("long").alias("blocks"))
     shared = checkpointed(shared.groupBy("key", "cid").agg(F.max("blocks").alias("blocks")))
 
-    wanted = rows.where("size(keys) > 0").select("cid", "digest").join(shared.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("digest").alias("digest"))
+    wanted = rows.where("cid is not null").select("cid", "digest").join(shared.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("digest").alias("digest"))
     blobs = texts.select("digest", "text").mapInArrow(_packed, "digest long, blob binary").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     sets = stored(blobs.select("blob").mapInArrow(_unpacked(n), "cid long, shingles array<long>, size long, sketch binary").dropDuplicates(["cid"]), "parity-sets")
 
@@ -308,6 +314,13 @@ def _by_key():
     return Window.partitionBy("key")
 
 
+def deduplicated(docs: DataFrame, text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """`docs` with one row of each group of near copies; rows without words stay. `docs` is a stored table: its rows are numbered by place, twice."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = jaccard_components(numbered, "_row", text_col, n, num, den)
+    return numbered.join(found.where("id != component_id").select(F.col("id").alias("_row")), "_row", "left_anti").drop("_row")
+
+
 def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = jaccard_components(docs, n=3, num=90, den=100)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, embedding_dedup, licenses, lm_score, packing, parity_join, pii, sharding, toxicity, url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontaminate.op4_decontamination,

@@ -289,6 +289,23 @@ def score(texts: DataFrame, model) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """`docs` without the rows whose text scores `threshold` or more."""
+    if model is None:
+        return docs
+    sent, chance, curve = model
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        words = Model(*sent.value)
+        for batch in batches:
+            got = [summary(words, chance, text) for text in batch.column(at).to_pylist()]
+            p = 1 / (1 + np.exp(-_design(np.array([g[0] for g in got], float), np.array([g[1] for g in got], np.int64)) @ curve))
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(column: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
