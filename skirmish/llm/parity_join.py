@@ -239,8 +239,8 @@ def _near(num: int, den: int):
     return run
 
 
-def _unpacked(n: int):
-    """(blob) to class, shingle set, its size and its sketch."""
+def _described(n: int):
+    """(blob) to class, blob, size of the shingle set and its sketch."""
 
     def run(batches):
         import zstandard
@@ -253,20 +253,43 @@ def _unpacked(n: int):
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 sketches = [sketch(shingles[x:y]) for x, y in zip(ends, ends[1:])]
                 yield pa.record_batch(
-                    [
-                        pa.array(_classes(shingles, sizes), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shingles.view(np.int64))),
-                        pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()),
-                    ], ["cid", "shingles", "size", "sketch"])
+                    [pa.array(_classes(shingles, sizes), pa.int64()), batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["cid", "blob", "size", "sketch"]
+                )
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets reach the similarity."""
-    with_a = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
-    with_both = with_a.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
-    sizes = with_both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return sizes.where(f"{den} * both >= {num} * (na + nb - both)").select("a", "b")
+def _checked(n: int, num: int, den: int):
+    """Pairs with both texts (a, b, blob_a, blob_b) to those whose shingle sets reach the similarity."""
+
+    def run(batches):
+        import zstandard
+
+        words, unpack, known = WordHashes(), zstandard.ZstdDecompressor(), {}
+
+        def shingles(cid, blob):
+            if (s := known.get(cid)) is None:
+                if len(known) > 256:
+                    known.clear()
+                known[cid] = s = shingle_sets([unpack.decompress(blob).decode("utf-8", "surrogatepass")], n, words)[0]
+            return s
+
+        for batch in batches:
+            keep = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s, t = shingles(a, x), shingles(b, y)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(den * both >= num * (len(s) + len(t) - both))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of `pairs` (a, b) whose whole shingle sets reach the similarity. Compressed texts move: they are a quarter of the sets."""
+    with_a = pairs.join(texts.select(F.col("cid").alias("a"), F.col("blob").alias("x")), "a")
+    with_both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("blob").alias("y")), "b")
+    return with_both.select("a", "b", "x", "y").mapInArrow(_checked(n, num, den), "a long, b long")
 
 
 def _candidates(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -291,14 +314,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     wanted = rows.where("cid is not null").select("cid", "digest").join(shared.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("digest").alias("digest"))
     blobs = texts.select("digest", "text").mapInArrow(_packed, "digest long, blob binary").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
-    sets = stored(blobs.select("blob").mapInArrow(_unpacked(n), "cid long, shingles array<long>, size long, sketch binary").dropDuplicates(["cid"]), "parity-sets")
+    held = stored(blobs.select("blob").mapInArrow(_described(n), "cid long, blob binary, size long, sketch binary"), "parity-texts")
 
-    links = checkpointed(_verified(_candidates(shared.withColumn("root", F.lit(None).cast("long")), sets, num, den), sets, num, den))
+    links = checkpointed(_verified(_candidates(shared.withColumn("root", F.lit(None).cast("long")), held, num, den), held, n, num, den))
     roots = connected_components(links)
     # What is left: pairs of a bucket in different components. Only buckets that hold two components take part.
     placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = placed.select("*", F.min("root").over(_by_key()).alias("r0"), F.max("root").over(_by_key()).alias("r1")).where("r0 != r1").drop("r0", "r1")
-    links = links.union(checkpointed(_verified(_candidates(mixed, sets, num, den).join(links, ["a", "b"], "left_anti"), sets, num, den)))
+    links = links.union(checkpointed(_verified(_candidates(mixed, held, num, den).join(links, ["a", "b"], "left_anti"), held, n, num, den)))
     roots = connected_components(links)
 
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("least"))
