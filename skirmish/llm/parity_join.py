@@ -7,6 +7,8 @@ most d of them, so they agree in E + 1 pieces at least, and in one that isn't em
 empty pieces (such a set puts its empty pieces into the index too). Sets that share a piece are candidates, and
 candidates are verified on their whole shingle sets.
 
+A class whose keys are shared by others less often than the bound asks for has no partner and goes first.
+
 Groups stay small work: equal sets are one class before anything is joined. In a bucket the Hamming distance of
 whole sketches turns most pairs away; of the others only enough to join what hangs together goes on to be verified,
 then, once the verified links' components are known, all those between different components. So a group of m near
@@ -90,18 +92,36 @@ def piece_keys(shingles: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[n
         slot, digest = slot[first][full], digest[full]
         o, piece = (slot >> np.uint64(40)).astype(np.int64), slot & np.uint64((1 << 40) - 1)
         code = band.astype(np.uint64) * np.uint64(2)
-        keys.append(mix64(digest + (piece << np.uint64(20)) + code[o] + np.uint64(1)))
+        keys.append(_marked(mix64(digest + (piece << np.uint64(20)) + code[o] + np.uint64(1)), band[o]))
         owners.append(o)
         empty = np.where(use, pieces - np.bincount(o, minlength=len(sizes)), 0)
         for i in np.flatnonzero(empty > spare):
             missing = np.setdiff1d(np.arange(pieces[i], dtype=np.uint64), piece[o == i])
-            keys.append(mix64((missing << np.uint64(20)) + code[i]))
+            keys.append(_marked(mix64((missing << np.uint64(20)) + code[i]), np.full(len(missing), band[i])))
             owners.append(np.full(len(missing), i))
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def _marked(keys: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Keys that carry their band in the lowest seven bits."""
+    return (keys & ~np.uint64(127)) | band.astype(np.uint64)
+
+
+def _needed(num: int, den: int):
+    """Keys of a band (column band) that a class of size n must share with any one partner, as a column.
+
+    Sketches of a pair agree in all pieces but as many as the sets differ by, and a set that keeps its empty pieces back
+    has no more of them than are spare. The partner that differs most is as large as the similarity lets it be.
+    """
+    top = F.array(*[F.lit(s - 1).cast("long") for s in Bands(num, den).starts[1:]])[F.col("band").cast("int")]
+    off, both = den - num, den + num
+    most = F.floor((top + F.floor(top * den / num)) * off / both)
+    partner = F.when(F.col("n") <= top, F.floor(F.col("n") * den / num)).otherwise(top)
+    return F.greatest(F.lit(1).cast("long"), most + 1 - F.floor((F.col("n") + partner) * off / both))
+
+
 def _classes(shingles: np.ndarray, sizes: np.ndarray) -> list[int | None]:
     """Digest of each set, none of an empty one."""
     import xxhash
@@ -307,12 +327,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = stored(texts.mapInArrow(_sized(n), f"id {id_type}, digest long, n_shingles long, cid long"), "parity-rows")
     entries = texts.select("text").mapInArrow(_keyed(n, num, den), "key long, cid long")
 
-    # Buckets of more than one class, with about how many they have.
-    per_key = F.min("cid").over(_by_key()).alias("lead"), F.max("cid").over(_by_key()).alias("last"), F.count(F.lit(1)).over(_by_key()).alias("many")
-    shared = entries.select("key", "cid", *per_key).where("lead != last").select("key", "cid", F.ceil(F.col("many") / BLOCK).cast("long").alias("blocks"))
-    shared = checkpointed(shared.groupBy("key", "cid").agg(F.max("blocks").alias("blocks")))
-
-    wanted = rows.where("cid is not null").select("cid", "digest").join(shared.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("digest").alias("digest"))
+    # Buckets of more than one class.
+    bounds = F.min("cid").over(_by_key()).alias("lead"), F.max("cid").over(_by_key()).alias("last")
+    mixed = entries.select("key", "cid", *bounds).where("lead != last").select("key", "cid").distinct()
+    mixed = stored(mixed.withColumn("band", F.col("key").bitwiseAND(127)), "parity-buckets")
+    # A class that shares fewer keys of a band than any partner would take has no partner there.
+    classes = rows.where("cid is not null").groupBy("cid").agg(F.min("digest").alias("digest"), F.first("n_shingles").alias("n"))
+    enough = mixed.groupBy("cid", "band").agg(F.count(F.lit(1)).alias("shares")).join(classes, "cid").where(F.col("shares") >= _needed(num, den)).select("cid", "band")
+    shared = mixed.join(enough, ["cid", "band"], "left_semi").select("key", "cid", *bounds, F.count(F.lit(1)).over(_by_key()).alias("many"))
+    shared = checkpointed(shared.where("lead != last").select("key", "cid", F.ceil(F.col("many") / BLOCK).cast("long").alias("blocks")))
+
+    wanted = classes.join(shared.select("cid").distinct(), "cid", "left_semi")
     blobs = texts.select("digest", "text").mapInArrow(_packed, "digest long, blob binary").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     held = stored(blobs.select("blob").mapInArrow(_described(n), "cid long, blob binary, size long, sketch binary"), "parity-texts")
 
