@@ -86,7 +86,7 @@ def ranks(bouts: DataFrame, appearances: DataFrame, history: DataFrame, cfg: Con
     """Per competitor and event: rank in the division of its last bout and over all, among those active within three years.
 
     Each history row is valid from the next event until the competitor's next one. Events meet these intervals by the
-    years that an interval touches, an equi-key, so that the range predicate never becomes a nested loop over all rows.
+    months that an interval touches, an equi-key, so that the range predicate never becomes a nested loop over all rows.
     """
     division = appearances.groupBy("fighter", "event_seq").agg(F.max_by("division", "bout_id").alias("division"))
     w = W.partitionBy("fighter").orderBy("event_seq")
@@ -94,9 +94,12 @@ def ranks(bouts: DataFrame, appearances: DataFrame, history: DataFrame, cfg: Con
         "fighter", "division", "mu", F.col("event_seq").alias("from_seq"), F.col("event_date").alias("from_date"), F.lead("event_seq").over(w).alias("to_seq"), F.lead("event_date").over(w).alias("to_date")
     )
     until = F.least(F.coalesce("to_date", F.date_add("from_date", cfg.active_days)), F.date_add("from_date", cfg.active_days))
-    state = state.withColumn("year", F.explode(F.sequence(F.year("from_date"), F.year(until))))
-    events = bouts.select("event_seq", "event_date").distinct().withColumn("year", F.year("event_date"))
-    live = events.join(state, "year").where(
+    def month(c):
+        return F.year(c) * 12 + F.month(c)
+
+    state = state.withColumn("month", F.explode(F.sequence(month("from_date"), month(until))))
+    events = bouts.select("event_seq", "event_date").distinct().withColumn("month", month("event_date"))
+    live = events.join(state, "month").where(
         (F.col("from_seq") < F.col("event_seq")) & (F.col("to_seq").isNull() | (F.col("event_seq") <= F.col("to_seq"))) & (F.datediff("event_date", "from_date") <= cfg.active_days)
     )
     by = [F.desc("mu"), F.asc("fighter")]

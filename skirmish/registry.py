@@ -114,7 +114,7 @@ SCORED_SQL = """, pref AS (SELECT *, coalesce(lag(mu) OVER (PARTITION BY fighter
 scores AS (
   SELECT bout_id, CASE WHEN is_draw THEN NULL ELSE least(
       CASE WHEN method_class IN ('KO/TKO', 'Submission') THEN 1.0 WHEN method_class = 'DQ' THEN 0.85 WHEN method_class = 'Decision - Unanimous' THEN
-        CASE WHEN time_format LIKE '5%' AND winner = fighter_a AND CAST(substr(fighter_a, 2) AS INTEGER) % 4 < 3 THEN 0.97 ELSE 0.95 END ELSE 0.90 END,
+        CASE WHEN time_format LIKE '5%' AND winner = fighter_a AND CAST(substr(fighter_a, 2) AS INTEGER) % 4 = 0 THEN 0.97 ELSE 0.95 END ELSE 0.90 END,
       CASE WHEN ped_confirmed AND ped_flagged_fighter = winner THEN 0.55 ELSE 1 END, CASE WHEN missed_weight AND missed_weight_fighter = winner THEN 0.70 ELSE 1 END,
       CASE WHEN method_class = 'DQ' THEN 0.75 ELSE 1 END) END AS quality_score,
     CASE WHEN method_class = 'DQ' THEN 0.70 WHEN method_class IN ('KO/TKO', 'Submission') THEN CASE WHEN end_round <= 1 THEN 1.0 ELSE 0.95 END
@@ -697,7 +697,7 @@ def density_share(spark, sf_dir):
 
 
 @query(""", c AS (SELECT bout_id, CAST(substr(fighter_a, 2) AS INTEGER) AS s FROM bouts)
-SELECT bout_id, CASE WHEN s % 4 = 3 THEN 'unanimous' ELSE 'unanimous' END AS decision FROM c""")
+SELECT bout_id, CASE s % 4 WHEN 2 THEN 'split' WHEN 1 THEN 'majority' ELSE 'unanimous' END AS decision FROM c""")
 def scorecard_decisions(spark, sf_dir):
     return library.scorecards(Given(spark, sf_dir).bouts)
 

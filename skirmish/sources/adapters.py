@@ -61,7 +61,7 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 + F.col("p_size") % 5).cast("int").alias("end_round"),
         (F.col("a.l_quantity") * 6).cast("int").alias("end_time_seconds"),
         F.when(title, "5 Rnd (5-5-5-5-5)").otherwise("3 Rnd (5-5-5)").alias("time_format"),
-        F.concat(F.lit("50 - "), low.cast("string"), F.lit(". 49 - 46. 50 - "), (low - 1).cast("string"), F.lit(".")).alias("details_text"),
+        F.concat(F.lit("50 - "), low.cast("string"), F.when(low == 47, ". 46 - 49. ").otherwise(". 49 - 46. "), F.when(low == 46, "47 - 47").otherwise(F.concat(F.lit("50 - "), (low - 1).cast("string"))), F.lit(".")).alias("details_text"),
         (F.col("o_orderpriority") == "5-LOW").alias("ped_confirmed"),
         F.when(F.col("o_orderpriority") == "5-LOW", F.when(F.col("a.l_quantity") > 25, a).otherwise(b)).alias("ped_flagged_fighter"),
         (F.col("o_orderpriority") == "4-NOT SPECIFIED").alias("missed_weight"),
@@ -102,7 +102,7 @@ WITH lines AS (
       WHEN 'RF' THEN 'Decision - Majority' ELSE 'DQ' END AS method_class,
     CAST(1 + p_size % 5 AS INTEGER) AS end_round, CAST(qty_a * 6 AS INTEGER) AS end_time_seconds,
     CASE WHEN is_title THEN '5 Rnd (5-5-5-5-5)' ELSE '3 Rnd (5-5-5)' END AS time_format,
-    '50 - ' || (45 + sa % 4) || '. 49 - 46. 50 - ' || (44 + sa % 4) || '.' AS details_text,
+    '50 - ' || (45 + sa % 4) || CASE WHEN sa % 4 = 2 THEN '. 46 - 49. ' ELSE '. 49 - 46. ' END || CASE WHEN sa % 4 = 1 THEN '47 - 47' ELSE '50 - ' || (44 + sa % 4) END || '.' AS details_text,
     o_orderpriority = '5-LOW' AS ped_confirmed,
     CASE WHEN o_orderpriority = '5-LOW' THEN CASE WHEN qty_a > 25 THEN fighter_a ELSE fighter_b END END AS ped_flagged_fighter,
     o_orderpriority = '4-NOT SPECIFIED' AS missed_weight,
