@@ -178,3 +178,83 @@ def metric_ranks(rows: DataFrame, metrics: list[str], group: str | None = None)
     out = rows.withColumns({f"z_{m}": (F.col(m) - F.avg(m).over(w)) / F.stddev_samp(m).over(w) for m in metrics} | {f"rank_{m}": F.rank().over(w.orderBy(F.col(m).desc_nulls_last())) for m in metrics})
     z, r = [F.col(f"z_{m}") for m in metrics], [F.col(f"rank_{m}") for m in metrics]
     return out.withColumns({"mean_rank": sum(r, F.lit(0.0)) / len(r), "rank_spread": F.greatest(*r) - F.least(*r), "z_spread": F.greatest(*z) - F.least(*z)})
+
+
+def best_external(rankings: DataFrame) -> DataFrame:
+    """Each name's best row of an outside ranking, by points, then rank."""
+    return rankings.withColumn("_k", F.row_number().over(W.partitionBy("name_key").orderBy(F.desc("points"), "rank", "division"))).where("_k = 1").drop("_k")
+
+
+def rank_gap(current: DataFrame, rankings: DataFrame, rating: str = "mu", least: int = 3) -> DataFrame:
+    """Own rank against an outside one, over keys of names; own rows without an outside rank stay."""
+    return ranked(current, rating, least).join(best_external(rankings).select("name_key", F.col("rank").alias("outside_rank"), "points"), "name_key", "left").withColumn("gap", F.col("outside_rank") - F.col("rank"))
+
+
+def division_comparison(current: DataFrame, rankings: DataFrame, rating: str = "mu", top: int = 15) -> DataFrame:
+    """Mean of the top by division here and in an outside ranking, divisions of either side."""
+    mine = top_by_group(current, "recent_division", rating, top).groupBy(F.col("recent_division").alias("division")).agg(F.avg(rating).alias("mean_rating"), F.count(F.lit(1)).alias("n_rated"))
+    other = rankings.where(F.col("rank") <= top).groupBy("division").agg(F.avg("points").alias("mean_points"), F.count(F.lit(1)).alias("n_ranked"))
+    return mine.join(other, "division", "full_outer")
+
+
+def context_impact(performance: DataFrame, factors: list[str], n: int = 25, least: float = 1.0001) -> DataFrame:
+    """Appearances whose context factors multiply to the most."""
+    product = F.lit(1.0)
+    for f in factors:
+        product = product * F.col(f)
+    return performance.withColumn("impact", product).where(F.col("impact") > least).orderBy(F.desc("impact"), "bout_id", "fighter").limit(n)
+
+
+def recent_rows(rows: DataFrame, fighter: str, n: int = 25) -> DataFrame:
+    return rows.where(F.col("fighter") == fighter).orderBy(F.desc("event_seq")).limit(n)
+
+
+def attribution_totals(attribution: DataFrame, fighter: str) -> DataFrame:
+    """What each component has added to a competitor's rating, a row each."""
+    parts = ["base_delta", "integrity_delta", "performance_delta", "interaction_delta"]
+    sums = attribution.where(F.col("fighter") == fighter).agg(*[F.sum(p).alias(p) for p in parts])
+    return sums.select(F.lit(fighter).alias("fighter"), *parts).unpivot(["fighter"], parts, "component", "total")
+
+
+def odds_history(odds: DataFrame, fighter: str) -> DataFrame:
+    """A competitor's market probability and result by bout."""
+    mine = F.when(F.col("fighter_a") == fighter, F.col("prob_a")).when(F.col("fighter_b") == fighter, F.col("prob_b"))
+    rows = odds.where((F.col("odds_data_quality") == "ok") & mine.isNotNull())
+    result = F.when(F.col("is_draw"), "draw").when(F.col("winner") == fighter, "win").otherwise("loss")
+    return rows.select("bout_id", "event_date", F.lit(fighter).alias("fighter"), mine.alias("market_prob"), result.alias("result"))
+
+
+def streak_timeline(history: DataFrame, appearances: DataFrame, fighter: str) -> DataFrame:
+    """A competitor's rating by event with its results of the day."""
+    outcome = F.when(F.col("is_draw"), "draw").when(F.col("is_winner"), "win").otherwise("loss")
+    days = appearances.where(F.col("fighter") == fighter).groupBy("event_seq").agg(F.array_join(F.array_sort(F.collect_list(outcome)), ", ").alias("results"))
+    return history.where(F.col("fighter") == fighter).join(days, "event_seq", "left")
+
+
+def division_summary(current: DataFrame, rating: str = "mu") -> DataFrame:
+    """Mean and best rating of every division, and how many stand in it."""
+    return current.groupBy("recent_division").agg(F.avg(rating).alias("mean"), F.max(rating).alias("best"), F.count(F.lit(1)).alias("n"))
+
+
+def residual_cohorts(rows: DataFrame, value: str = "residual") -> DataFrame:
+    """Rows above and below nothing: their number and mean size."""
+    side = F.when(F.col(value) > 0, "positive").when(F.col(value) < 0, "negative").otherwise("none")
+    return rows.groupBy(side.alias("cohort")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(value)).alias("mean_abs"))
+
+
+def odds_coverage(current: DataFrame, odds: DataFrame) -> DataFrame:
+    """Bouts with good odds, all bouts, their share, and the competitors that have any."""
+    people = odds.where("odds_data_quality = 'ok'").select(F.explode(F.array("fighter_a", "fighter_b")).alias("fighter")).join(current.select("fighter"), "fighter", "left_semi")
+    counts = odds.agg(F.count_if(F.col("odds_data_quality") == "ok").alias("covered"), F.count(F.lit(1)).alias("bouts"))
+    return counts.crossJoin(people.agg(F.count_distinct("fighter").alias("fighters"))).withColumn("share", F.try_divide("covered", "bouts"))  # a row each
+
+
+def integrity_counts(bouts: DataFrame) -> DataFrame:
+    """Findings, disqualification wins and missed-weight wins of every competitor, in one aggregate."""
+    marks = F.array(
+        F.struct(F.when(F.col("ped_confirmed"), F.col("ped_flagged_fighter")).alias("fighter"), F.lit("ped").alias("kind")),
+        F.struct(F.when(F.col("method_class") == "DQ", F.col("winner")).alias("fighter"), F.lit("dq").alias("kind")),
+        F.struct(F.when(F.col("missed_weight") & (F.col("missed_weight_fighter") == F.col("winner")), F.col("winner")).alias("fighter"), F.lit("weight").alias("kind")),
+    )
+    rows = bouts.select(F.explode(marks).alias("m")).select("m.*").where("fighter is not null")
+    return rows.groupBy("fighter").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("ped", "ped_confirmed_fights"), ("dq", "dq_wins"), ("weight", "missed_weight_wins"))])

@@ -854,3 +854,106 @@ def tuned_ratings(spark, sf_dir):
 @query()
 def ranking_pages(spark, sf_dir):
     return raw.rankings(adapters.table(spark, sf_dir, "pages").select(F.lit("all").alias("division"), "html"))
+
+
+# ---- outside rankings, audits, cards
+
+
+def _outside(g: Given) -> DataFrame:
+    """An outside ranking made of the suppliers: points by balance, rank by key, two rows for some names."""
+    rows = adapters.table(g.spark, g.dir, "supplier").where("s_suppkey % 4 <> 0")
+    once = rows.select(F.concat(F.lit(" s"), F.col("s_suppkey"), F.lit(" ")).alias("fighter"), (F.col("s_suppkey") % 20 + 1).cast("int").alias("rank"), F.when(F.col("s_nationkey") % 2 == 0, "Lightweight").otherwise("Flyweight").alias("division"), F.col("s_acctbal").alias("points"))
+    twice = once.where("rank % 3 = 0").withColumns({"division": F.lit("Open"), "points": F.col("points") + 10})
+    return names.with_name_key(once.unionByName(twice), "fighter")
+
+
+OUTSIDE_SQL = """, o1 AS (SELECT lower('s' || s_suppkey) AS name_key, CAST(s_suppkey % 20 + 1 AS INTEGER) AS rank, CASE WHEN s_nationkey % 2 = 0 THEN 'Lightweight' ELSE 'Flyweight' END AS division, s_acctbal AS points FROM supplier WHERE s_suppkey % 4 <> 0),
+outside AS (SELECT * FROM o1 UNION ALL SELECT name_key, rank, 'Open', points + 10 FROM o1 WHERE rank % 3 = 0)"""
+
+
+@query(CURRENT_SQL + OUTSIDE_SQL + """, b AS (SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY points DESC, rank, division) AS k FROM outside),
+m AS (SELECT fighter, rank() OVER (ORDER BY mu DESC) AS rank FROM current WHERE rating_periods >= 3)
+SELECT m.fighter, m.rank, b.rank AS outside_rank, round(b.points, 2) AS points, b.rank - m.rank AS gap FROM m LEFT JOIN b ON b.name_key = lower(m.fighter) AND b.k = 1""")
+def outside_rank_gap(spark, sf_dir):
+    g = Given(spark, sf_dir)
+    rows = library.rank_gap(names.with_name_key(g.current, "fighter"), _outside(g))
+    return rows.select("fighter", F.col("rank").cast("long").alias("rank"), "outside_rank", r("points", 2).alias("points"), F.col("gap").cast("long").alias("gap"))
+
+
+@query(CURRENT_SQL + OUTSIDE_SQL + """, t AS (SELECT *, row_number() OVER (PARTITION BY recent_division ORDER BY mu DESC, fighter) AS k FROM current),
+a AS (SELECT recent_division AS division, avg(mu) AS mean_rating, count(*) AS n_rated FROM t WHERE k <= 15 GROUP BY 1), b AS (SELECT division, avg(points) AS mean_points, count(*) AS n_ranked FROM outside WHERE rank <= 15 GROUP BY 1)
+SELECT division, round(mean_rating, 4) AS mean_rating, n_rated, round(mean_points, 4) AS mean_points, n_ranked FROM a FULL JOIN b USING (division)""")
+def division_comparison(spark, sf_dir):
+    g = Given(spark, sf_dir)
+    return library.division_comparison(g.current, _outside(g)).select("division", r("mean_rating", 4).alias("mean_rating"), "n_rated", r("mean_points", 4).alias("mean_points"), "n_ranked")
+
+
+@query(PERFORMANCE_SQL + " SELECT bout_id, fighter, round(f_rank * f_title * f_p4p, 6) AS impact FROM perf WHERE f_rank * f_title * f_p4p > 1.0001 ORDER BY f_rank * f_title * f_p4p DESC, bout_id, fighter LIMIT 25")
+def context_impact(spark, sf_dir):
+    return library.context_impact(_performance(Given(spark, sf_dir)), ["f_rank", "f_title", "f_p4p"]).select("bout_id", "fighter", r("impact").alias("impact"))
+
+
+@query(PERFORMANCE_SQL + " SELECT bout_id, fighter, f_class::DOUBLE AS impact FROM perf WHERE f_class > 1.0001 ORDER BY f_class DESC, bout_id, fighter LIMIT 25")
+def class_move_impact(spark, sf_dir):
+    return library.context_impact(_performance(Given(spark, sf_dir)), ["f_class"]).select("bout_id", "fighter", "impact")
+
+
+@query(" SELECT fighter, event_seq, mu FROM history WHERE fighter = 'S4' ORDER BY event_seq DESC LIMIT 25")
+def recent_events(spark, sf_dir):
+    return library.recent_rows(Given(spark, sf_dir).history, "S4").select("fighter", F.col("event_seq").cast("long").alias("event_seq"), "mu")
+
+
+@query(""", d AS (SELECT mu - coalesce(lag(mu) OVER (ORDER BY event_seq), 1500) AS d FROM history WHERE fighter = 'S4'), s AS (SELECT sum(d) AS t FROM d)
+SELECT 'S4' AS fighter, c AS component, round(f * t, 4) + 0.0 AS total FROM s, (VALUES ('base_delta', 1.0), ('integrity_delta', -0.02), ('performance_delta', 0.03), ('interaction_delta', 0.0)) v(c, f)""")
+def attribution_totals(spark, sf_dir):
+    rows = library.attribution_totals(diagnostics.attribution(context.deltas(_streamed(Given(spark, sf_dir)))), "S4")
+    return rows.select("fighter", "component", (r("total", 4) + 0.0).alias("total"))
+
+
+@query(ODDS_SQL + """ SELECT bout_id, CAST(event_date AS VARCHAR) AS event_date, 'S4' AS fighter, round(CASE WHEN fighter_a = 'S4' THEN prob_a ELSE prob_b END, 6) AS market_prob,
+  CASE WHEN is_draw THEN 'draw' WHEN winner = 'S4' THEN 'win' ELSE 'loss' END AS result FROM lines_ok WHERE odds_data_quality = 'ok' AND 'S4' IN (fighter_a, fighter_b)""")
+def odds_history(spark, sf_dir):
+    rows = library.odds_history(Given(spark, sf_dir).odds, "S4")
+    return rows.select("bout_id", F.col("event_date").cast("string").alias("event_date"), "fighter", r("market_prob").alias("market_prob"), "result")
+
+
+@query(""", d AS (SELECT event_seq, string_agg(CASE WHEN is_draw THEN 'draw' WHEN is_winner THEN 'win' ELSE 'loss' END, ', ' ORDER BY CASE WHEN is_draw THEN 'draw' WHEN is_winner THEN 'win' ELSE 'loss' END) AS results FROM apps WHERE fighter = 'S4' GROUP BY 1)
+SELECT h.event_seq, h.mu, d.results FROM history h LEFT JOIN d USING (event_seq) WHERE h.fighter = 'S4'""")
+def streak_timeline(spark, sf_dir):
+    g = Given(spark, sf_dir)
+    return library.streak_timeline(g.history, g.apps, "S4").select(F.col("event_seq").cast("long").alias("event_seq"), "mu", "results")
+
+
+@query(CURRENT_SQL + " SELECT recent_division, round(avg(mu), 4) AS mean, max(mu) AS best, count(*) AS n FROM current GROUP BY 1")
+def division_summary(spark, sf_dir):
+    return library.division_summary(Given(spark, sf_dir).current).withColumn("mean", r("mean", 4))
+
+
+@query(CURRENT_SQL + """, l AS (SELECT regr_slope(mu, rating_periods) AS k, regr_intercept(mu, rating_periods) AS c FROM current), e AS (SELECT mu - k * rating_periods - c AS residual FROM current, l)
+SELECT CASE WHEN residual > 0 THEN 'positive' WHEN residual < 0 THEN 'negative' ELSE 'none' END AS cohort, count(*) AS n, round(avg(abs(residual)), 4) AS mean_abs FROM e GROUP BY 1""")
+def residual_cohorts(spark, sf_dir):
+    return library.residual_cohorts(library.residual_fit(Given(spark, sf_dir).current, "rating_periods", "mu")).withColumn("mean_abs", r("mean_abs", 4))
+
+
+@query(ODDS_SQL + CURRENT_SQL + """ SELECT count(*) FILTER (odds_data_quality = 'ok') AS covered, count(*) AS bouts, round(count(*) FILTER (odds_data_quality = 'ok') / count(*), 6) AS share,
+  (SELECT count(DISTINCT f) FROM (SELECT fighter_a AS f FROM lines_ok WHERE odds_data_quality = 'ok' UNION ALL SELECT fighter_b FROM lines_ok WHERE odds_data_quality = 'ok')) AS fighters FROM lines_ok""")
+def odds_coverage(spark, sf_dir):
+    g = Given(spark, sf_dir)
+    return library.odds_coverage(g.current, g.odds).withColumn("share", r("share"))
+
+
+@query(""", m AS (SELECT ped_flagged_fighter AS f, 'ped' AS k FROM bouts WHERE ped_confirmed UNION ALL SELECT winner, 'dq' FROM bouts WHERE method_class = 'DQ' UNION ALL SELECT winner, 'weight' FROM bouts WHERE missed_weight AND missed_weight_fighter = winner)
+SELECT f AS fighter, count(*) FILTER (k = 'ped') AS ped_confirmed_fights, count(*) FILTER (k = 'dq') AS dq_wins, count(*) FILTER (k = 'weight') AS missed_weight_wins FROM m WHERE f IS NOT NULL GROUP BY f""")
+def integrity_counts(spark, sf_dir):
+    return library.integrity_counts(Given(spark, sf_dir).bouts)
+
+
+@query(CURRENT_SQL + """ SELECT recent_division AS division, CASE WHEN starts_with(recent_division, 'Women''s') THEN 'F' ELSE 'M' END AS gender, count(*) AS n FROM current GROUP BY 1, 2""")
+def recent_divisions(spark, sf_dir):
+    return snapshot.recent_divisions(Given(spark, sf_dir).bouts).groupBy(F.col("recent_division").alias("division"), "gender").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(" SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, regexp_replace(event_type, '[^a-z]', '_', 'g') AS name FROM events", bouts=False)
+def event_properties(spark, sf_dir):
+    rows = adapters.table(spark, sf_dir, "events")
+    return rows.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), clean.identifier(F.col("event_type")).alias("name"))
