@@ -483,3 +483,27 @@ def test_estimates_are_unbiased_and_bounded():
     true = (x * y).sum(1)
     bound = embedding_dedup.upper_bounds(code, factor, y, np.zeros(len(y)))
     assert (true <= bound).mean() > 0.995 and (bound - true).mean() < 0.4
+
+
+# ---- running text
+
+
+def test_word_order_and_words_before_count(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        out = []
+        while len(out) < 60:
+            k = rng.randrange(40)
+            out += [f"w{k}", f"w{(7 * k + 3) % 40}", f"w{(11 * k + 5) % 40}"]
+        rows.append((i, " ".join(out), "en", "a", 0))
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 10 == 0]
+    shuffled = [(1000 + i, " ".join(rng.sample(t.split(), 60)), *rest) for i, t, *rest in held]
+    df = frame(spark, rows + shuffled).select(F.col("doc_id").alias("id"), (F.col("id") != 7).alias("x"), "text")
+    df = df.select("id", ((toxicity.fold("id", 10) != 0) & (F.col("id") < 1000)).alias("train"), "text")
+    got = {r.id: r for r in lm_score.score_texts(df).collect()}
+    assert len(held) > 10
+    for (i, *_), (j, *_) in zip(held, shuffled, strict=True):
+        assert got[i].base_score == pytest.approx(got[j].base_score)
+        assert got[i].score > 0.8 * got[j].score and got[i].score > got[i].base_score
+    assert sum(got[i].score for i, *_ in held) > 0.8 * sum(got[j].score for j, *_ in shuffled)
