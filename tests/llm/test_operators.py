@@ -507,3 +507,19 @@ def test_word_order_and_words_before_count(spark):
         assert got[i].base_score == pytest.approx(got[j].base_score)
         assert got[i].score > 0.8 * got[j].score and got[i].score > got[i].base_score
     assert sum(got[i].score for i, *_ in held) > 0.8 * sum(got[j].score for j, *_ in shuffled)
+
+
+def test_mixer_learns_from_every_training_word(spark, monkeypatch):
+    rng = random.Random(22)
+    counts = {f"{rng.randrange(10**6)}x{i}".encode(): rng.randrange(1, 90) for i in range(3000)}  # over 60,000 occurrences
+    rows = []
+    for bucket in range(4):
+        part = sorted(counts)[bucket::4]
+        rows.append((bucket, lm_score._pack(b" ".join(part)), lm_score._pack(np.array([counts[w] for w in part], np.int64).tobytes())))
+    vocabulary = spark.createDataFrame(rows, "bucket long, words binary, counts binary")
+    learned = vocabulary.mapInArrow(lm_score._learned(spark.sparkContext.broadcast(np.zeros((2, lm_score.SLOTS), np.float32))), "cell long, sum double, mass double")
+    weights = lm_score.Mixer(np.zeros(1), np.zeros(1)).weights
+    mass = learned.where(F.col("cell") < weights.size).agg(F.sum("mass")).first()[0]
+    assert mass / weights.shape[1] == sum(8 * (len(w) + 1) * n for w, n in counts.items())
+    mixer = lm_score.train_mixer(vocabulary)
+    assert np.isfinite(mixer.weights).all() and np.isfinite(mixer.refined).all() and not np.allclose(mixer.weights, 0.25)
