@@ -517,9 +517,36 @@ def test_mixer_learns_from_every_training_word(spark, monkeypatch):
         part = sorted(counts)[bucket::4]
         rows.append((bucket, lm_score._pack(b" ".join(part)), lm_score._pack(np.array([counts[w] for w in part], np.int64).tobytes())))
     vocabulary = spark.createDataFrame(rows, "bucket long, words binary, counts binary")
-    learned = vocabulary.mapInArrow(lm_score._learned(spark.sparkContext.broadcast(np.zeros((2, lm_score.SLOTS), np.float32))), "cell long, sum double, mass double")
-    weights = lm_score.Mixer(np.zeros(1), np.zeros(1)).weights
+    weights, refined, paths = lm_score.train_mixer(vocabulary, 3)
+    learned = vocabulary.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(lm_score._learned(3), "cell long, sum double, mass double")
     mass = learned.where(F.col("cell") < weights.size).agg(F.sum("mass")).first()[0]
     assert mass / weights.shape[1] == sum(8 * (len(w) + 1) * n for w, n in counts.items())
-    mixer = lm_score.train_mixer(vocabulary)
-    assert np.isfinite(mixer.weights).all() and np.isfinite(mixer.refined).all() and not np.allclose(mixer.weights, 0.25)
+    assert np.isfinite(weights).all() and np.isfinite(refined).all() and not np.allclose(weights, 0.25)
+
+
+def test_counts_of_contexts_are_exact_and_grow(spark):
+    rng = random.Random(23)
+    counts = {f"{rng.randrange(10**6)}y{i}".encode(): rng.randrange(0, 9) for i in range(900)}
+    rows = []
+    for bucket in range(3):
+        part = sorted(counts)[bucket::3]
+        rows.append((bucket, lm_score._pack(b" ".join(part)), lm_score._pack(np.array([counts[w] for w in part], np.int64).tobytes())))
+    vocabulary = spark.createDataFrame(rows, "bucket long, words binary, counts binary")
+    paths = lm_score.train_mixer(vocabulary, 4)[2].toArrow()
+    for bucket in range(3):
+        words_ = sorted(counts)[bucket::3]
+        mine = paths.filter(np.array(paths["bucket"]) == bucket)
+        got = lm_score._answered(words_, 4, mine)._counts(lm_score.Bits(words_), 0)
+        prefixes, lasts = Counter(), Counter()
+        for w, n in counts.items():
+            bits = "".join(f"{c:08b}" for c in w + b" ")
+            for k in range(len(bits)):
+                prefixes[bits[: k + 1]] += n
+                lasts[min(k // 8, 4), bits[max(0, k // 8 - 4) * 8 : k + 1]] += n
+        at = 0
+        for w in words_:
+            bits = "".join(f"{c:08b}" for c in w + b" ")
+            for k in range(len(bits)):
+                for context, want in ((5, [prefixes[bits[:k] + c] for c in "01"]), (4, [lasts[min(k // 8, 4), bits[max(0, k // 8 - 4) * 8 : k] + c] for c in "01"])):
+                    assert [got[context][0][at], got[context][1][at]] == want
+                at += 1
