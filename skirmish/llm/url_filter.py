@@ -25,8 +25,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Share of the labelled addresses that must hold a combination; share of those with it that must be blocked; tokens in a combination.
-SUPPORT, CONFIDENCE, LONGEST = 0.005, 0.85, 3
+#: Share of the labelled addresses that must hold a combination; share of those with it that must be blocked.
+SUPPORT, CONFIDENCE = 0.005, 0.85
 #: A token of more than this share of the labelled addresses says nothing about one.
 COMMON = 0.9
 
@@ -73,7 +73,7 @@ def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CON
         return spark.createDataFrame([], nothing)
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict:"), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == "verdict:block").where(F.size("antecedent") <= LONGEST)
+    rules = model.associationRules.where(F.col("consequent")[0] == "verdict:block")
     common = model.freqItemsets.where("size(items) = 1").where(F.col("freq") > COMMON * labelled.count()).agg(F.collect_list(F.col("items")[0]).alias("common"))
     rules = rules.crossJoin(F.broadcast(common)).where(~F.arrays_overlap("antecedent", "common"))  # one row, of fewer tokens than an address can have
     rules = rules.where(F.exists("antecedent", lambda x: x.rlike("^(h|top):")) & F.exists("antecedent", lambda x: x.rlike(r"^p\d+:")))

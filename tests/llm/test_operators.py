@@ -323,6 +323,15 @@ def test_mined_rules_join_host_and_path(spark):
     assert found and all("p0:en" in r.tokens and len(r.tokens) >= 2 and r.confidence >= 0.85 for r in found)
 
 
+def test_rules_of_four_tokens_are_kept(spark):
+    whole = ["h:a", "h:b", "p0:c", "p1:d"]
+    rows = [(whole, "block")] * 40
+    for gone in whole:  # every part is less sure than the whole
+        rows += [([x for x in whole if x != gone], "allow")] * 10
+    found = [sorted(r.tokens) for r in url_filter.mined(spark.createDataFrame(rows + [(["h:z", "p0:z"], "allow")] * 40, "tokens array<string>, verdict string")).collect()]
+    assert found == [whole]
+
+
 # ---- packing
 
 
