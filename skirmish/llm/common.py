@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -34,41 +33,52 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it names none, as in tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it names none and all runs on this machine, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return named or current.get()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "skirmish-checkpoints")
     sc.setCheckpointDir(named)
     return named
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    del df
-    swept(out.sparkSession)
-    return out
+#: Spark's setting by which the shuffle files of an action go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    del df
-    swept(out.sparkSession)
-    return out
-
-
-def swept(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files that nothing refers to any more: it waits for the driver's collector."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Cut the lineage with a Parquet table in the shared folder. The shuffle files behind it go once it stands."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Take stored tables away that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` has it (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -166,20 +176,28 @@ def runs(batches, width: int):
         yield held
 
 
+#: Parts that the rows of one root are dealt into when labels jump.
+SALTS = 16
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node that each node of `edges` can reach: columns node, root.
 
     Labels spread along the edges and then jump to their label's label, so the rounds grow with the
-    logarithm of a component's width. Each round ends in a checkpoint, and only a count comes to the driver.
+    logarithm of a component's width. Each round is stored, the one before goes, and only a count comes to the driver.
+    A root that many nodes share is looked up in SALTS parts.
     """
     both = edges.select(F.col(a).alias("s"), F.col(b).alias("d"))
-    both = checkpointed(both.union(both.select(F.col("d").alias("s"), F.col("s").alias("d"))).where("s != d").distinct())
-    labels = checkpointed(both.groupBy(F.col("s").alias("node")).agg(F.min("d").alias("m")).select("node", F.least("node", "m").alias("root")))
+    both = stored(both.union(both.select(F.col("d").alias("s"), F.col("s").alias("d"))).where("s != d").distinct(), "edges")
+    labels = stored(both.groupBy(F.col("s").alias("node")).agg(F.min("d").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("d"), "root"), "d").groupBy(F.col("s").alias("node")).agg(F.min("root").alias("m"))
-        spread = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = checkpointed(spread.join(jump, "root").select("node", "old", F.least("root", "up").alias("root")))
-        if not new.where("old != root").limit(1).count():
+        spread = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+        roots = labels.select("root").distinct()  # after a jump each new root was some node's root before
+        jump = labels.join(roots.withColumnRenamed("root", "node"), "node", "left_semi").select(F.col("node").alias("root"), F.col("root").alias("up"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        new = stored(spread.join(jump, ["root", "salt"]).select("node", "old", F.least("root", "up").alias("root")), "labels")
+        done = not new.where("old != root").limit(1).count()
+        dropped(labels, *[both] * done)
+        if done:
             return new.select("node", "root")
         labels = new.select("node", "root")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, mix64, read_table, runs, stored
+from .common import connected_components, mix64, read_table, runs, stored
 
 #: Least probability that a pair at the threshold meets in a bucket; the bound's width; bits of a code at least.
 RECALL, EPS, CODE_BITS = 0.995, 3.0, 256
@@ -206,7 +206,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     index = index.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "cid", "dim", "code", "factor", "small", "scale")
     edges = index.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid").select("key", "i", "j", "cid", "dim", "code", "factor", "small", "scale")
     edges = edges.mapInArrow(_bucketed(threshold), "a long, b long").distinct()
-    clusters = connected_components(checkpointed(edges))
+    clusters = connected_components(edges)
 
     sized = clusters.join(clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "root")
     members = sized.join(classes.select(F.col("cid").alias("node"), "mult", "vector"), "node")

@@ -7,16 +7,19 @@ most d of them, so they agree in E + 1 pieces at least, and in one that isn't em
 empty pieces (such a set puts its empty pieces into the index too). Sets that share a piece are candidates, and
 candidates are verified on their whole shingle sets.
 
-A class whose keys are shared by others less often than the bound asks for has no partner and goes first.
+A class whose keys are shared by others less often than the bound asks for has no partner and goes first; of the
+others the commonest keys go, as many as any partner must share beyond one; keys with the same classes are one bucket.
 
 Groups stay small work: equal sets are one class before anything is joined. In a bucket the Hamming distance of
-whole sketches turns most pairs away; of the others only enough to join what hangs together goes on to be verified,
-then, once the verified links' components are known, all those between different components. So a group of m near
-copies costs about m verifications for each of its pieces, and no link between different components is missed.
-Buckets beyond a bound are dealt out in pairs of blocks.
+whole sketches turns most pairs away; of the others only enough to join what hangs together goes on to be verified.
+Then, once the verified links' components are known, the rows that some row of another component may link with are
+compared by whole sets inside their bucket, and only enough links come out to join the components. So no stage puts
+out more than some rows for each row of a bucket, and no link between different components is missed. Buckets beyond a
+bound are dealt out in pairs of blocks.
 
 Edge cases: a null or empty text has an empty set and links with nothing; a text with fewer words than a shingle is
-one shingle; rows with equal or null ids are each returned; an empty table gives an empty result. Classes are named
+one shingle; rows with equal or null ids are each returned; an empty table gives an empty result; of equal texts the
+smallest id names the component, null ids never do; columns other than id and text are not read. Classes are named
 by a 64-bit digest of the set: at a billion different sets the chance of one false merge is about 3 %.
 """
 
@@ -26,15 +29,15 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, connected_components, groups_of, mix64, read_table, runs, shingle_sets, stored
+from .common import WordHashes, connected_components, dropped, fresh_name, groups_of, mix64, read_table, runs, shingle_sets, stored
 
 #: Each size band's upper end is this much of its lower end.
 BAND = 1.5
-#: Bits of each piece of a sketch; classes of a bucket that one piece of work compares.
-PIECE_BITS, BLOCK = 4096, 4096
+#: Bits of each piece of a sketch; classes of a bucket that one piece of work compares by sketch, and their shingles where whole sets are compared.
+PIECE_BITS, BLOCK, BLOCK_SHINGLES = 4096, 4096, 2_000_000
 
 
 class Bands:
@@ -202,59 +205,95 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def _near(num: int, den: int):
-    """Rows (key, i, j, block, cid, root, size, sketch) sorted by key, i and j to pairs (a, b) that may be links.
+class _Close:
+    """The rows of a bucket (cid, size, sketch, block) and which of them a row's sketch does not part from it."""
 
-    Where roots are null: enough pairs to join all that hangs together. Else: all pairs of different roots.
-    """
+    def __init__(self, cid, size, sketches, block, across: bool, num: int, den: int):
+        self.cid, self.size, self.block = np.array(cid), np.array(size), np.array(block)
+        self.flat, self.across, self.num, self.den = folded(sketches), across, num, den
+
+    def __call__(self, k: int, others: np.ndarray) -> np.ndarray:
+        num, den, size = self.num, self.den, self.size
+        if self.across:
+            others = others[self.block[others] != self.block[k]]
+        most = (size[others] + size[k]) * (den - num) // (den + num)
+        fits = (num * size[others] <= den * size[k]) & (num * size[k] <= den * size[others])
+        return others[fits & (np.bitwise_count(self.flat[others] ^ self.flat[k]).sum(1) <= most)]
+
+
+def _near(num: int, den: int):
+    """Rows (bucket, i, j, block, cid, size, sketch) sorted by bucket, i and j to enough pairs (a, b) to join all that sketches don't part."""
 
     def pairs(rows):
-        cid, size = np.array([r[4] for r in rows]), np.array([r[6] for r in rows])
-        flat = folded([r[7] for r in rows])
-        across = rows[0][1] != rows[0][2]
-        block = np.array([r[3] for r in rows])
-
-        def close(k: int, others: np.ndarray) -> np.ndarray:
-            if across:
-                others = others[block[others] != block[k]]
-            most = (size[others] + size[k]) * (den - num) // (den + num)
-            fits = (num * size[others] <= den * size[k]) & (num * size[k] <= den * size[others])
-            return others[fits & (np.bitwise_count(flat[others] ^ flat[k]).sum(1) <= most)]
-
-        every, out = np.arange(len(rows)), []
-        if rows[0][5] is None:
-            hit = close(0, every[1:])
-            out += [(cid[0], cid[h]) for h in hit]
-            joined = np.zeros(len(rows), bool)
-            joined[hit] = joined[0] = True
-            group = np.arange(len(rows))
-            group[hit] = 0
-            for k in np.flatnonzero(~joined):
-                hit = close(k, np.delete(every, k))
-                _, first = np.unique(group[hit], return_index=True)
-                for h in hit[first]:
-                    if group[h] != group[k]:
-                        out.append((cid[k], cid[h]))
-                        group[group == group[h]] = group[k]
-        else:
-            root = np.array([r[5] for r in rows])
+        close = _Close([r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows], [r[3] for r in rows], rows[0][1] != rows[0][2], num, den)
+        every, group = np.arange(len(rows)), np.arange(len(rows))
+        for k in every:
+            if k and group[k] == group[0]:
+                continue  # what the first row took in is met by the others
+            hit = close(k, every[every != k])
+            _, first = np.unique(group[hit], return_index=True)
+            for h in hit[first]:
+                if group[h] != group[k]:
+                    yield close.cid[k], close.cid[h]
+                    group[group == group[h]] = group[k]
+
+    def run(batches):
+        a, b = [], []
+        for rows in runs(batches, 3):
+            for x, y in pairs(rows) if len(rows) > 1 else ():
+                a.append(min(x, y))
+                b.append(max(x, y))
+                if len(a) > 20_000:
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    a, b = [], []
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _alike(num: int, den: int):
+    """Rows (bucket, i, j, block, cid, root, size, sketch) sorted by bucket, i and j to the rows (bucket, cid) that some row of another root is not parted from."""
+
+    def run(batches):
+        for rows in runs(batches, 3):
+            if len(rows) < 2:
+                continue
+            close = _Close([r[4] for r in rows], [r[6] for r in rows], [r[7] for r in rows], [r[3] for r in rows], rows[0][1] != rows[0][2], num, den)
+            root, every, found = np.array([r[5] for r in rows]), np.arange(len(rows)), np.zeros(len(rows), bool)
             kinds, of, many = np.unique(root, return_inverse=True, return_counts=True)
-            rest = np.flatnonzero(of != many.argmax())
-            for k in rest:
-                # two rows outside the largest component meet once
-                hit = close(k, every[(root != root[k]) & ((of == many.argmax()) | (every > k))])
-                out += [(cid[k], cid[h]) for h in hit]
-        return [(int(min(a, b)), int(max(a, b))) for a, b in out]
+            for k in np.flatnonzero(of != many.argmax()):  # of two rows of different roots one at least is outside the largest root
+                hit = close(k, every[root != root[k]])
+                found[hit] = True
+                found[k] |= len(hit) > 0
+            yield pa.record_batch([pa.array(np.full(found.sum(), rows[0][0])), pa.array(close.cid[found])], ["bucket", "cid"])
+
+    return run
+
+
+def _linked(n: int, num: int, den: int):
+    """Rows (bucket, i, j, block, cid, root, size, blob) sorted by bucket, i and j to links (a, b), enough to join all roots that whole shingle sets link."""
+
+    def links(rows, sets):
+        close = _Close([r[4] for r in rows], [r[6] for r in rows], [sketch(s) for s in sets], [r[3] for r in rows], rows[0][1] != rows[0][2], num, den)
+        group, every = np.unique([r[5] for r in rows], return_inverse=True)[1], np.arange(len(rows))
+        for k in every:
+            for h in close(k, every[k + 1 :][group[k + 1 :] != group[k]]):
+                if group[h] != group[k]:
+                    both = len(np.intersect1d(sets[k], sets[h], assume_unique=True))
+                    if den * both >= num * (len(sets[k]) + len(sets[h]) - both):
+                        yield int(close.cid[k]), int(close.cid[h])
+                        group[group == group[h]] = group[k]
 
     def run(batches):
-        out: list[tuple[int, int]] = []
+        import zstandard
+
+        words, unpack = WordHashes(), zstandard.ZstdDecompressor()
         for rows in runs(batches, 3):
-            if len(rows) > 1:
-                out += pairs(rows)
-            if len(out) > 20_000:
-                yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
-                out = []
-        yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
+            if len(rows) < 2:
+                continue
+            sets = [shingle_sets([unpack.decompress(r[7]).decode("utf-8", "surrogatepass")], n, words)[0] for r in rows]
+            found = list(links(rows, sets))  # fewer than the rows
+            yield pa.record_batch([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], ["a", "b"])
 
     return run
 
@@ -312,12 +351,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return with_both.select("a", "b", "x", "y").mapInArrow(_checked(n, num, den), "a long, b long")
 
 
-def _candidates(entries: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of the buckets' classes that their sketches don't part."""
-    rows = entries.join(sets.select("cid", "size", "sketch"), "cid")
-    rows = rows.select("key", F.pmod(F.xxhash64("cid"), "blocks").alias("block"), "cid", "root", "size", "sketch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "root", "size", "sketch")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid").mapInArrow(_near(num, den), "a long, b long").distinct()
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows with `bucket`, `cid` and `blocks` to (bucket, i, j, block, cid, columns), each pair of a bucket's blocks one sorted piece of work."""
+    rows = rows.select("bucket", F.pmod(F.xxhash64("cid"), "blocks").alias("block"), "cid", *columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", *columns)
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
+
+
+def _buckets(entries: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Index entries (key, cid), repeated ones too, to the buckets (bucket, cid, blocks) in which partners meet.
+
+    Of its K shared keys of a band a class needs `need` in common with any one partner. So classes with fewer go, and of
+    the others the need - 1 keys that most classes share: the rarest key that two partners share is left with both.
+    Keys with the same classes are one bucket.
+    """
+    by_key, by_band = Window.partitionBy("key"), Window.partitionBy("cid", "band")
+    ends = F.min("cid").over(by_key).alias("lead"), F.max("cid").over(by_key).alias("last")
+    mixed = entries.select("key", "cid", *ends).where("lead != last").dropDuplicates(["key", "cid"])
+    mixed = mixed.select("key", "cid", F.count(F.lit(1)).over(by_key).alias("many"), F.col("key").bitwiseAND(127).alias("band"))
+    mixed = mixed.join(classes.hint("merge").select("cid", "n"), "cid").withColumn("need", _needed(num, den))
+    mixed = mixed.withColumn("shares", F.count(F.lit(1)).over(by_band)).where("shares >= need")
+    mixed = mixed.withColumn("place", F.row_number().over(by_band.orderBy(F.desc("many"), "key"))).where("place >= need")
+    shared = mixed.select("key", "cid", F.count(F.lit(1)).over(by_key).alias("many"), F.sum(F.shiftright(F.xxhash64("cid"), 20)).over(by_key).alias("a"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "cid"), 20)).over(by_key).alias("b"))
+    shared = shared.where("many > 1").select(F.xxhash64("many", "a", "b").alias("bucket"), "cid", F.ceil(F.col("many") / BLOCK).cast("long").alias("blocks"))
+    return shared.groupBy("bucket", "cid").agg(F.max("blocks").alias("blocks"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -325,28 +382,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     rows = stored(texts.mapInArrow(_sized(n), f"id {id_type}, digest long, n_shingles long, cid long"), "parity-rows")
-    entries = texts.select("text").mapInArrow(_keyed(n, num, den), "key long, cid long")
-
-    # Buckets of more than one class.
-    bounds = F.min("cid").over(_by_key()).alias("lead"), F.max("cid").over(_by_key()).alias("last")
-    mixed = entries.select("key", "cid", *bounds).where("lead != last").select("key", "cid").distinct()
-    mixed = stored(mixed.withColumn("band", F.col("key").bitwiseAND(127)), "parity-buckets")
-    # A class that shares fewer keys of a band than any partner would take has no partner there.
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("digest").alias("digest"), F.first("n_shingles").alias("n"))
-    enough = mixed.groupBy("cid", "band").agg(F.count(F.lit(1)).alias("shares")).join(classes, "cid").where(F.col("shares") >= _needed(num, den)).select("cid", "band")
-    shared = mixed.join(enough, ["cid", "band"], "left_semi").select("key", "cid", *bounds, F.count(F.lit(1)).over(_by_key()).alias("many"))
-    shared = checkpointed(shared.where("lead != last").select("key", "cid", F.ceil(F.col("many") / BLOCK).cast("long").alias("blocks")))
+    shared = stored(_buckets(texts.select("text").mapInArrow(_keyed(n, num, den), "key long, cid long"), classes, num, den), "parity-buckets")
 
     wanted = classes.join(shared.select("cid").distinct(), "cid", "left_semi")
     blobs = texts.select("digest", "text").mapInArrow(_packed, "digest long, blob binary").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     held = stored(blobs.select("blob").mapInArrow(_described(n), "cid long, blob binary, size long, sketch binary"), "parity-texts")
 
-    links = checkpointed(_verified(_candidates(shared.withColumn("root", F.lit(None).cast("long")), held, num, den), held, n, num, den))
+    work = _dealt(shared.join(held.select("cid", "size", "sketch"), "cid"), "size", "sketch")
+    links = stored(_verified(work.mapInArrow(_near(num, den), "a long, b long").distinct(), held, n, num, den), "parity-links")
     roots = connected_components(links)
-    # What is left: pairs of a bucket in different components. Only buckets that hold two components take part.
+
+    # What is left: links between different components. Only buckets that hold two components take part, and of them the rows that sketches don't part.
+    by_bucket = Window.partitionBy("bucket")
     placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    mixed = placed.select("*", F.min("root").over(_by_key()).alias("r0"), F.max("root").over(_by_key()).alias("r1")).where("r0 != r1").drop("r0", "r1")
-    links = links.union(checkpointed(_verified(_candidates(mixed, held, num, den).join(links, ["a", "b"], "left_anti"), held, n, num, den)))
+    mixed = placed.select("*", F.min("root").over(by_bucket).alias("r0"), F.max("root").over(by_bucket).alias("r1")).where("r0 != r1").select("bucket", "cid", "root", "blocks")
+    work = _dealt(mixed.join(held.select("cid", "size", "sketch"), "cid"), "root", "size", "sketch")
+    alike = stored(work.mapInArrow(_alike(num, den), "bucket long, cid long").distinct(), "parity-alike")
+    alike = alike.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(held.select("cid", "size", "blob"), "cid")
+    alike = alike.withColumn("blocks", F.ceil(F.sum("size").over(by_bucket) / BLOCK_SHINGLES).cast("long"))
+    more = _dealt(alike, "root", "size", "blob").mapInArrow(_linked(n, num, den), "a long, b long")
+    links = stored(links.union(more), "parity-links")
+    dropped(shared, held)
     roots = connected_components(links)
 
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("id").alias("least"))
@@ -356,17 +413,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(named, "cid", "left").select(F.col("id"), "n_shingles", "cid", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key")
-
-
 def deduplicated(docs: DataFrame, text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """`docs` with one row of each group of near copies; rows without words stay. `docs` is a stored table: its rows are numbered by place, twice."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = jaccard_components(numbered, "_row", text_col, n, num, den)
-    return numbered.join(found.where("id != component_id").select(F.col("id").alias("_row")), "_row", "left_anti").drop("_row")
+    row = fresh_name(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    found = jaccard_components(numbered, row, text_col, n, num, den)
+    return numbered.join(found.where("id != component_id").select(F.col("id").alias(row)), row, "left_anti").drop(row)
 
 
 def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
