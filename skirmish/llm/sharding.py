@@ -5,7 +5,7 @@ the few totals gives every partition the bytes that stand before it. A row's sha
 middle byte falls into, so a cut is off its target by half a row at most.
 
 Edge cases: a null text has no bytes and so size 1; rows with equal keys keep apart by their place in the input;
-an empty table gives an empty result; columns of the input that clash with the result's names give way.
+an empty table gives an empty result; columns `shard` and `slot` of the input give way, all others stay whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table
+from .common import fresh_name, read_table, stored
 
 SHARDS = 16
 
@@ -25,27 +25,25 @@ def shard_by_bytes(rows: DataFrame, size_col: str, order_by: list[str], n_shards
     Memory: no row but the partitions' totals and the shards' first places is ever broadcast: one row for each
     shuffle partition and one for each shard, whatever the input.
     """
-    rows = rows.drop(*(c for c in ("shard", "slot", "_pid", "_tie") if c in rows.columns))
-    rows = rows.withColumn("_tie", F.monotonically_increasing_id())
-    dealt = checkpointed(rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order_by], F.col("_tie")).withColumn("_pid", F.spark_partition_id()))
-    totals = dealt.groupBy("_pid").agg(F.sum(size_col).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    before = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(
-        "_pid",
-        F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes0"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows0"),
-        F.sum("_bytes").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_total"),
-    )
-    run = W.partitionBy("_pid").orderBy(*[F.col(c).asc_nulls_first() for c in order_by], "_tie")
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("shard", "slot")])
+    pid, tie, bytes0, rows0, total, end, rank, first = (fresh_name(rows, c) for c in ("pid", "tie", "bytes0", "rows0", "total", "end", "rank", "first"))
+    by = [*[F.col(c).asc_nulls_first() for c in order_by], F.col(tie)]
+    dealt = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*by).withColumn(pid, F.spark_partition_id())
+    dealt = stored(dealt, "shard-ranges")
+    totals = dealt.groupBy(pid).agg(F.sum(size_col).alias(bytes0), F.count(F.lit(1)).alias(rows0))
+    before, all_ = W.orderBy(pid).rowsBetween(W.unboundedPreceding, -1), W.orderBy(pid).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    zero = F.lit(0).cast("long")
+    totals = totals.select(pid, F.coalesce(F.sum(bytes0).over(before), zero).alias(bytes0), F.coalesce(F.sum(rows0).over(before), zero).alias(rows0), F.sum(bytes0).over(all_).alias(total))
+    run = W.partitionBy(pid).orderBy(*by)
     placed = (
-        dealt.join(F.broadcast(totals), "_pid")
-        .withColumn("_end", F.col("_bytes0") + F.sum(size_col).over(run))
-        .withColumn("_rank", F.col("_rows0") + F.row_number().over(run) - 1)
-        .withColumn("shard", F.expr(f"cast(least({n_shards - 1}, ((2 * _end - {size_col}) * {n_shards}) div (2 * _total)) as int)"))
+        dealt.join(F.broadcast(totals), pid)
+        .withColumn(end, F.col(bytes0) + F.sum(size_col).over(run))
+        .withColumn(rank, F.col(rows0) + F.row_number().over(run) - 1)
+        .withColumn("shard", F.expr(f"cast(least({n_shards - 1}, ((2 * {end} - `{size_col}`) * {n_shards}) div (2 * {total})) as int)"))
     )
-    firsts = placed.groupBy("shard").agg(F.min("_rank").alias("_first"))
-    out = placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_rank") - F.col("_first"))
-    return out.select(*[c for c in rows.columns if c != "_tie"], "shard", "slot")
+    firsts = placed.groupBy("shard").agg(F.min(rank).alias(first))
+    out = placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col(rank) - F.col(first))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], "shard", "slot")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
