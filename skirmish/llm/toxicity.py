@@ -7,8 +7,8 @@ maximal scoring segments of a text; Karlin and Altschul's law turns a segment's
 segments as good in ordinary text of the same length; the segments with few expected are the toxic passages. A
 logistic curve over the best segment and the number of significant ones gives the score.
 
-Counts live in two hashed tables of fixed size (the lesser count holds), so what is broadcast never grows with the
-corpus. Counts and the background cover all labelled training texts, equal texts counted once; the logistic curve
+Counts live in two hashed tables of fixed size (the lesser count holds), 32 MB in all, so what is broadcast never grows
+with the corpus; rare words of a very large vocabulary blur, held back by the prior. Counts and the background cover all labelled training texts, equal texts counted once; the logistic curve
 is fitted on about `FIT_ROWS` of them, twice as many at most.
 
 Edge cases: null and empty texts have no segment and get the curve's value at nothing; without labels of both kinds
@@ -115,7 +115,7 @@ class Model(dict):
     """Scores of words (UTF-8), from the two tables of counts; looked up words are kept, up to a bound."""
 
     def __init__(self, n: np.ndarray, t: np.ndarray, base: float):
-        self.n, self.t, self.base = array("i", n.tobytes()), array("i", t.tobytes()), base
+        self.n, self.t, self.base = array("q", n.tobytes()), array("q", t.tobytes()), base
         self.stems: dict[str, float] = {}
         self.zero = math.log(base / (1 - base)) + DRIFT
 
@@ -208,7 +208,7 @@ def summary(model: Model, chance: Chance, text: str | None) -> tuple[float, int,
 
 
 def _design(best, many):
-    return np.stack([np.ones(len(best)), np.minimum(best, 12.0), np.log1p(many)], 1)
+    return np.stack([np.ones(len(best)), np.log1p(best), np.log1p(many)], 1)
 
 
 def fit_curve(best: np.ndarray, many: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -236,7 +236,7 @@ def train(texts: DataFrame, labels: DataFrame):
 
     sums = learned.select("blob", "toxic").mapInArrow(_count, "bucket long, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     found = sums.toArrow()  # 2 * BUCKETS rows at most
-    n, t = np.zeros(2 * BUCKETS, np.int32), np.zeros(2 * BUCKETS, np.int32)
+    n, t = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
     at = found["bucket"].to_numpy()
     n[at], t[at] = found["n"].to_numpy(), found["t"].to_numpy()
     if not 0 < t.sum() < n.sum():
