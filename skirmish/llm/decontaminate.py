@@ -9,7 +9,8 @@ Texts are compared in lower case with white space squeezed, and places refer to
 
 Edge cases: null or empty texts hold nothing, null or empty items occur nowhere; an item too short for a budget has
 budget 0 and is sought as it stands; rows and items may repeat, each gets its own results; empty tables give an
-empty result; a text of any length is read whole.
+empty result; a text of any length is read whole; of equally good places the first counts; ids may be of any type, other
+columns are not read (`contaminated`) or stay as they are (`without_leaks`).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import read_table
 
@@ -162,8 +164,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     kinds = texts.schema["id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"id {kinds[0]}, item_id {kinds[1]}, distance int, start long, end long"
     out = spark.createDataFrame([], schema)
-    id_arrow = pa.from_numpy_dtype("int64") if kinds[0] == "bigint" else None
-    item_arrow = pa.from_numpy_dtype("int64") if kinds[1] == "bigint" else None
+    item_arrow = to_arrow_type(items.schema[item_col].dataType)
     for block in _blocks(items.select(item_col, item_text), block_bytes):
         sent = spark.sparkContext.broadcast(block)
 
@@ -175,7 +176,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     rows += [(i, *x) for x in match(text)]
                 take = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.record_batch([
-                    ids.take(take), pa.array([r[1] for r in rows], item_arrow or pa.string()), pa.array([r[2] for r in rows], pa.int32()),
+                    ids.take(take), pa.array([r[1] for r in rows], item_arrow), pa.array([r[2] for r in rows], pa.int32()),
                     pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()),
                 ], ["id", "item_id", "distance", "start", "end"])
 
