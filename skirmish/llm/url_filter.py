@@ -3,7 +3,7 @@
 Hand-written rules judge some addresses. Those are the labelled transactions: FP-growth mines the token combinations
 that are frequent among them, and the combinations of host and path tokens that lead to `block` often enough are kept, unless
 a part of one does so as surely; tokens that nearly all addresses have are no part of a rule. The rest of the addresses is judged by the mined rules, which are found through an inverted index:
-each rule hangs on one of its tokens, and only rules of an address's own tokens are looked at.
+each rule hangs on its rarest token, and only rules of an address's own tokens are looked at.
 
 Edge cases: a null address, or one without `://`, has an empty host and path, fits no rule and is allowed unless a
 mined rule says otherwise; rows repeat as they are; an empty table, or one without labels, mines nothing and allows
@@ -27,6 +27,8 @@ RULES = (
 )
 #: Share of the labelled addresses that must hold a combination; share of those with it that must be blocked.
 SUPPORT, CONFIDENCE = 0.005, 0.85
+#: Addresses that a combination must have in any case; how much oftener than the rest those with it must be blocked.
+LEAST, LIFT = 8, 1.1
 #: A token of more than this share of the labelled addresses says nothing about one.
 COMMON = 0.9
 
@@ -64,23 +66,26 @@ def tokens_of(host: Column, path: Column) -> Column:
 
 
 def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules (tokens, confidence, support) from rows (tokens, verdict), by FP-growth."""
+    """Rules (tokens, confidence, support, and the rarest token) from rows (tokens, verdict), by FP-growth."""
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
-    nothing = "tokens array<string>, confidence double, support double"
-    if labelled.isEmpty():
+    nothing = "tokens array<string>, confidence double, support double, token string"
+    many = labelled.count()
+    if not many:
         return spark.createDataFrame([], nothing)
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict:"), "verdict")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == "verdict:block")
-    common = model.freqItemsets.where("size(items) = 1").where(F.col("freq") > COMMON * labelled.count()).agg(F.collect_list(F.col("items")[0]).alias("common"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST / many)), minConfidence=confidence).fit(baskets)
+    rules = model.associationRules.where((F.col("consequent")[0] == "verdict:block") & (F.col("lift") >= LIFT))
+    single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
+    common = single.where(F.col("freq") > COMMON * many).agg(F.collect_list("token").alias("common"))
     rules = rules.crossJoin(F.broadcast(common)).where(~F.arrays_overlap("antecedent", "common"))  # one row, of fewer tokens than an address can have
     rules = rules.where(F.exists("antecedent", lambda x: x.rlike("^(h|top):")) & F.exists("antecedent", lambda x: x.rlike(r"^p\d+:")))
     rules = rules.where(~F.exists("antecedent", lambda x: x.startswith("verdict:"))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     # a rule goes when a part of it is as sure: the parts are looked up through their own tokens
-    whole = stored(rules, "url-rules")
-    parts = whole.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"), F.col("tokens")[0].alias("token"))
+    rarest = rules.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(single, "token")
+    whole = stored(rarest.groupBy("tokens", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("token")), "url-rules")
+    parts = whole.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"), "token")
     beaten = (
         whole.select("tokens", "confidence", F.explode("tokens").alias("token"))
         .join(parts, "token")
@@ -99,7 +104,7 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = stored(rows.select("row", "id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), tokens_of(F.col("host"), F.col("path")).alias("tokens")), "url-rows")
     found = mined(rows.where("by_rule is not null").select("tokens", F.col("by_rule").alias("verdict")))
-    index = found.select(F.col("tokens").alias("needed"), "confidence", F.col("tokens")[0].alias("token"))
+    index = found.select(F.col("tokens").alias("needed"), "confidence", "token")
     hits = (
         rows.where("by_rule is null")
         .select("row", "tokens", F.explode("tokens").alias("token"))
