@@ -7,9 +7,10 @@ padding and penalties is least:
 
     cost(j) = penalty(j) + 2048 - t(j) + min over i, t(j) - t(i) <= 2048, of cost(i) + t(i)
 
-The minimum over the window is kept in a monotone queue, so the whole is linear. The stream is solved in blocks, the
-last windows of a block being solved again with the next one, so a task holds one block and one text at a time. No
-row moves between partitions: each input split is packed by itself, and only its last window is left part-filled.
+The minimum over the window is kept in a monotone queue, so the whole is linear. Places are fed in blocks that end with a
+document, and windows that every way to go on shares are given out, so a task holds one block, one text and the few
+windows not yet settled, and the sum is the least of the whole stream whatever the blocks. Of equal sums the one with the
+later cuts before is taken. No row moves between partitions: each input split is packed by itself, and only its last window is left part-filled.
 
 Edge cases: a null text is empty and gives its end id alone; repeated rows and ids are packed each for itself; long
 texts are cut into as many pieces as they need; an empty table gives an empty result; other columns aren't read.
@@ -31,7 +32,7 @@ from .common import read_table
 WINDOW, END = 2048, 1
 #: Penalties, in ids of padding, of a cut at a sentence's end and inside a sentence; the longest stretch without a place to cut.
 SENTENCE, HARD, STRETCH = 6.0, 24.0, 64
-#: Ids that are solved at once.
+#: Ids that are fed at once; results don't depend on it.
 BLOCK = 1 << 18
 SPECIAL = "<|endoftext|>"
 
@@ -65,28 +66,62 @@ class Encoder:
         return np.array(self._quick.encode_ordinary(text), np.uint32)
 
 
+class Cutter:
+    """Chooses among places that come in ascending order (gaps of at most `window`); 0 is the start.
+
+    Only what some live end of the queue can still lead back to is held.
+    """
+
+    def __init__(self, window: int = WINDOW):
+        self.window = window
+        self.at, self.cost, self.back = [0], [0.0], [-1]
+        self.queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+
+    def feed(self, places: list[int], penalties: list[float]) -> None:
+        at, cost, back, queue, window = self.at, self.cost, self.back, self.queue, self.window
+        for j, (t, penalty) in enumerate(zip(places, penalties, strict=True), len(at)):
+            while at[queue[0][1]] < t - window:
+                queue.popleft()
+            value, i = queue[0]
+            c = penalty + window - t + value
+            at.append(t)
+            cost.append(c)
+            back.append(i)
+            value = c + t
+            while queue and queue[-1][0] >= value:
+                queue.pop()
+            queue.append((value, j))
+
+    def _path(self, j: int) -> list[int]:
+        out = []
+        while j > 0:
+            out.append(self.at[j])
+            j = self.back[j]
+        return out[::-1]
+
+    def settled(self) -> list[int]:
+        """Cuts that all ways to go on share, and lets go of what is before the last of them."""
+        live = {i for _, i in self.queue}
+        while len(live) > 1:
+            j = max(live)
+            live.remove(j)
+            live.add(self.back[j])
+        (j,) = live
+        out = self._path(j)
+        self.at, self.cost, self.back = self.at[j:], self.cost[j:], [-1, *(b - j for b in self.back[j + 1 :])]
+        self.queue = deque((v, i - j) for v, i in self.queue)
+        return out
+
+    def rest(self) -> list[int]:
+        """The cuts that are left when the last place is the end."""
+        return self._path(len(self.at) - 1)
+
+
 def cuts(places: list[int], penalties: list[float], window: int = WINDOW) -> list[int]:
-    """Indices of the chosen ones of `places` (ascending, gaps of at most `window`, the last is the end); 0 is the start."""
-    cost, back = [0.0], [-1]
-    at = [0, *places]
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    for j, (t, penalty) in enumerate(zip(places, penalties, strict=True), 1):
-        least = t - window
-        while at[queue[0][1]] < least:
-            queue.popleft()
-        value, i = queue[0]
-        c = penalty + window - t + value
-        cost.append(c)
-        back.append(i)
-        value = c + t
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, j))
-    out, j = [], len(places)
-    while j > 0:
-        out.append(j - 1)
-        j = back[j]
-    return out[::-1]
+    """The chosen ones of `places`, the last of which is the end."""
+    cutter = Cutter(window)
+    cutter.feed(places, penalties)
+    return cutter.rest()
 
 
 def candidates(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
@@ -109,44 +144,35 @@ class Packer:
 
     def __init__(self, stops: np.ndarray, window: int = WINDOW, block: int = BLOCK):
         self.stops, self.window, self.block = stops, window, block
-        self.parts: list[tuple[object, int, np.ndarray, int]] = []
-        self.held, self.sequence = 0, 0
+        self.cutter = Cutter(window)
+        #: documents not yet given out: document, place of its first id in the stream, ids, how many of them are out
+        self.parts: deque[list] = deque()
+        self.fresh: list[np.ndarray] = []
+        self.held, self.place, self.begin, self.sequence = 0, 0, 0, 0
 
     def add(self, doc, ids: np.ndarray):
-        self.parts.append((doc, 0, ids, len(ids)))
+        self.parts.append([doc, self.place + self.held, ids])
+        self.fresh.append(ids)
         self.held += len(ids)
         return self.solve(False) if self.held >= self.block else []
 
     def solve(self, last: bool) -> list[tuple]:
-        if not self.held:
-            return []
-        ids = np.concatenate([p[2] for p in self.parts])
-        ends = np.cumsum([len(p[2]) for p in self.parts])
-        at, penalty = candidates(ids, ends, self.stops, min(STRETCH, self.window))
-        chosen = at[cuts(at.tolist(), penalty.tolist(), self.window)]
-        if not last:  # what follows may change the last windows
-            chosen = chosen[:-2]
-        out, begin, k = [], 0, 0
-        starts = ends - np.array([len(p[2]) for p in self.parts])
-        for stop in chosen.tolist():
+        if self.fresh:
+            at, penalty = candidates(np.concatenate(self.fresh), np.cumsum([len(x) for x in self.fresh]), self.stops, min(STRETCH, self.window))
+            self.cutter.feed((at + self.place).tolist(), penalty.tolist())
+            self.place, self.held, self.fresh = self.place + self.held, 0, []
+        out = []
+        for stop in self.cutter.rest() if last else self.cutter.settled():
             offset = 0
-            while begin < stop:
-                doc, first, part, total = self.parts[k]
-                upto = min(stop, int(ends[k]))
-                lo, hi = begin - int(starts[k]), upto - int(starts[k])
-                out.append((doc, first + lo, part[lo:hi], total, self.sequence, offset))
+            while self.begin < stop:
+                doc, first, ids = self.parts[0]
+                lo, hi = self.begin - first, min(stop - first, len(ids))
+                out.append((doc, lo, ids[lo:hi], len(ids), self.sequence, offset))
                 offset += hi - lo
-                begin = upto
-                if upto == ends[k]:
-                    k += 1
+                self.begin += hi - lo
+                if hi == len(ids):
+                    self.parts.popleft()
             self.sequence += 1
-        if k < len(self.parts):
-            doc, first, part, total = self.parts[k]
-            lo = begin - int(starts[k])
-            self.parts = [(doc, first + lo, part[lo:], total), *self.parts[k + 1 :]]
-        else:
-            self.parts = []
-        self.held -= begin
         return out
 
 

@@ -350,8 +350,8 @@ def test_cuts_are_the_cheapest():
             if all(b - a <= 8 for a, b in zip(at, at[1:])):
                 best = min(best, sum(8 - (b - a) for a, b in zip(at, at[1:])) + sum(penalties[i] for i in chosen))
         got = packing.cuts(places, penalties, 8)
-        at = [0] + [places[i] for i in got]
-        assert sum(8 - (b - a) for a, b in zip(at, at[1:])) + sum(penalties[i] for i in got) == best
+        at = [0] + got
+        assert sum(8 - (b - a) for a, b in zip(at, at[1:])) + sum(penalties[places.index(t)] for t in got) == best
 
 
 def test_pieces_give_all_ids_back(spark):
