@@ -11,7 +11,8 @@ Vote patterns and features are small categorical tuples, so what is counted, and
 bounded by their number of combinations and not by the corpus.
 
 Edge cases: null and empty texts have no span; places count code points, ends are exclusive; repeated rows are each
-returned; empty tables give an empty result; a corpus without candidates leaves the base spans alone.
+returned; empty tables give an empty result; a corpus without candidates leaves the base spans alone; spans that begin
+at one place come in the order of the kinds; other columns are not read (`detect`) or stay as they are (`masked`).
 """
 
 from __future__ import annotations
@@ -184,11 +185,11 @@ def fit_classifier(features: list[tuple[int, ...]], target: np.ndarray, weight:
     x = np.zeros((len(features), width))
     for i, f in enumerate(features):
         x[i, _one_hot(f)] = 1
-    w, weight = np.zeros(width), weight / weight.sum() * min(weight.sum(), 1e4)
+    w = np.zeros(width)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(width), x.T @ (weight * (target - p)) - ridge * w)
-        w = w + step
+        w = w + step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-300))
         if np.abs(step).max() < 1e-8:
             break
     return w
