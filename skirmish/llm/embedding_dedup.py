@@ -10,11 +10,12 @@ Pairs are looked for in buckets of code bits: bits and tables grow with the numb
 small and a pair at the threshold meets in one table at least with a probability of RECALL. Buckets hold codes and
 8-bit vectors alone. Vectors whose bounds don't part them become one cluster, and each cluster's whole vectors are
 fetched once and compared exactly, in pairs of blocks where a cluster is large. Equal vectors are one from the
-start, and in a bucket vectors are first compared with one leader, so a group of copies costs its size, not its square.
+start, and a bucket gives only enough pairs to join what its bounds don't part, never all pairs of a group.
 
 Edge cases: vectors that are null, empty or zero or hold null or non-finite components link with nothing and are
-kept; vectors of different length never link; rows with equal or null ids are each returned; an empty table gives an
-empty result.
+kept; vectors of different length never link; rows with equal or null ids are each returned; of linked rows with one
+smallest id all of that id are kept; columns other than the id and the vector are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, mix64, read_table, runs, stored
+from .common import connected_components, dropped, mix64, read_table, runs, stored
 
 #: Least probability that a pair at the threshold meets in a bucket; the bound's width; bits of a code at least.
 RECALL, EPS, CODE_BITS = 0.995, 3.0, 256
-#: Vectors of a cluster that are compared in one piece of work; vectors of a bucket
-#: up to which all pairs are estimated at once; vectors of a bucket that one piece of work takes.
-BLOCK, SMALL, BUCKET = 256, 8, 8192
+#: Vectors of a cluster that are compared in one piece of work; vectors of a bucket that one piece of work takes; pairs whose bounds are computed at once.
+BLOCK, BUCKET, PAIRS = 256, 8192, 4096
 
 
 def layout(n: int, threshold: float) -> tuple[int, int]:
@@ -81,8 +82,8 @@ def _unit(batch_column) -> list[np.ndarray]:
     return out
 
 
-def _coder(bits: int, tables: int):
-    """(cid, vector) to rows of the bucket index: key, cid, dim, packed codes, factors, 8-bit vector, its scale."""
+def _keyed(bits: int, tables: int):
+    """(cid, vector) to cid and its bucket keys, one a table."""
 
     def run(batches):
         for batch in batches:
@@ -91,23 +92,33 @@ def _coder(bits: int, tables: int):
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = np.stack([vectors[i] for i in at])
-                code, factor = codes(x)
                 signs = [(x @ rotation(int(dim), 1000 + r).T > 0) for r in range(math.ceil(bits * tables / dim))]
                 signs = np.concatenate(signs, 1)[:, : bits * tables].reshape(len(at), tables, bits)
                 value = (signs.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(2, dtype=np.uint64)
                 key = mix64(value + (np.arange(tables, dtype=np.uint64) << np.uint64(44)) + (np.uint64(dim) << np.uint64(52))).view(np.int64)
-                scale = np.abs(x).max(1) / 127
-                small = np.rint(x / scale[:, None]).astype(np.int8)
-                packed = np.packbits(code.reshape(len(at), -1) > 0, axis=1)
-                order = np.repeat(np.arange(len(at)), tables)
-                yield pa.record_batch([
-                    pa.array(key.ravel()), pa.array(cids[at][order]), pa.array(np.full(len(order), dim, np.int32)), pa.array([packed[i].tobytes() for i in order], pa.binary()),
-                    pa.array([factor[i].astype(np.float32).tobytes() for i in order], pa.binary()), pa.array([small[i].tobytes() for i in order], pa.binary()), pa.array(scale[order]),
-                ], ["key", "cid", "dim", "code", "factor", "small", "scale"])
+                yield pa.record_batch([pa.array(key.ravel()), pa.array(np.repeat(cids[at], tables))], ["key", "cid"])
 
     return run
 
 
+def _coded(batches):
+    """(cid, vector) to cid, dim, packed codes, factors, 8-bit vector and its scale."""
+    for batch in batches:
+        cids, vectors = batch.column(0).to_numpy(), _unit(batch.column(1))
+        dims = np.array([len(v) for v in vectors])
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            x = np.stack([vectors[i] for i in at])
+            code, factor = codes(x)
+            scale = np.abs(x).max(1) / 127
+            small = np.rint(x / scale[:, None]).astype(np.int8)
+            packed = np.packbits(code.reshape(len(at), -1) > 0, axis=1)
+            yield pa.record_batch([
+                pa.array(cids[at]), pa.array(np.full(len(at), dim, np.int32)), pa.array([c.tobytes() for c in packed], pa.binary()),
+                pa.array([f.astype(np.float32).tobytes() for f in factor], pa.binary()), pa.array([v.tobytes() for v in small], pa.binary()), pa.array(scale),
+            ], ["cid", "dim", "code", "factor", "small", "scale"])
+
+
 class _Bucket:
     """The vectors of one bucket, with bounds between any two of them."""
 
@@ -124,36 +135,31 @@ class _Bucket:
 
     def close(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
         out = np.empty(len(i), bool)
-        for k in range(0, len(i), 65536):
-            a, b = i[k : k + 65536], j[k : k + 65536]
-            out[k : k + 65536] = upper_bounds(self.code[a], self.factor[a], self.q[b], self.error[b]) >= threshold
+        for k in range(0, len(i), PAIRS):
+            a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+            out[k : k + PAIRS] = upper_bounds(self.code[a], self.factor[a], self.q[b], self.error[b]) >= threshold
         return out
 
-    def edges(self, threshold: float) -> list[tuple[int, int]]:
-        """Pairs that join all vectors whose bounds don't part them."""
-        n = len(self.cid)
-        if n <= SMALL:
-            i, j = np.triu_indices(n, 1)
-        else:
-            others = np.arange(1, n)
-            near = self.close(np.zeros(n - 1, np.int64), others, threshold)
-            out = [(int(self.cid[0]), int(c)) for c in self.cid[others[near]]]
-            rest = others[~near]
-            for k, a in enumerate(rest):  # each against the leader's group and the later ones
-                b = np.concatenate((others[near], rest[k + 1 :]))
-                hit = b[self.close(np.full(len(b), a), b, threshold)]
-                out += [(int(self.cid[a]), int(self.cid[h])) for h in hit[:1]] + [(int(self.cid[a]), int(self.cid[h])) for h in hit[1:] if h in rest]
-            return out
-        near = self.close(i, j, threshold)
-        return list(zip(self.cid[i[near]].tolist(), self.cid[j[near]].tolist(), strict=True))
+    def edges(self, threshold: float):
+        """Pairs that join all vectors whose bounds don't part them: fewer than there are vectors."""
+        every, group = np.arange(len(self.cid)), np.arange(len(self.cid))
+        for k in every:
+            if k and group[k] == group[0]:
+                continue  # what the first vector took in is met by the others
+            others = every[group != group[k]]
+            hit = others[self.close(np.full(len(others), k), others, threshold) | self.close(others, np.full(len(others), k), threshold)]
+            _, first = np.unique(group[hit], return_index=True)
+            for h in hit[first]:
+                yield int(self.cid[k]), int(self.cid[h])
+                group[group == group[h]] = group[k]
 
 
 def _bucketed(threshold: float):
     def run(batches):
         out: list[tuple[int, int]] = []
         for rows in runs(batches, 3):
-            if len(rows) > 1:
-                out += _Bucket([r[2:] for r in rows]).edges(threshold)
+            for edge in _Bucket([r[2:] for r in rows]).edges(threshold) if len(rows) > 1 else ():
+                out.append(edge)
             if len(out) > 20_000:
                 yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
                 out = []
@@ -196,17 +202,22 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     n = classes.count()
     bits, tables = layout(n, threshold)
 
-    schema = "key long, cid long, dim int, code binary, factor binary, small binary, scale double"
-    index = classes.select("cid", "vector").mapInArrow(_coder(bits, tables), schema)
+    # First the keys alone move; codes and 8-bit vectors only meet buckets of two and more.
+    by_key = W.partitionBy("key")
+    index = classes.select("cid", "vector").mapInArrow(_keyed(bits, tables), "key long, cid long")
+    index = index.withColumn("many", F.count(F.lit(1)).over(by_key)).where("many > 1")
     # Buckets beyond BUCKET vectors are dealt out in pairs of blocks.
-    large = index.select("key").groupBy("key").count().where(F.col("count") > BUCKET).select("key", F.ceil(F.col("count") / BUCKET).cast("long").alias("blocks"))
-    blocks = F.coalesce("blocks", F.lit(1)).cast("long")
-    index = index.join(large, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
+    blocks = F.ceil(F.col("many") / BUCKET).cast("long")
+    index = index.select("key", "cid", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).alias("block"))
     index = index.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    index = index.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "cid", "dim", "code", "factor", "small", "scale")
+    coded = stored(classes.select("cid", "vector").mapInArrow(_coded, "cid long, dim int, code binary, factor binary, small binary, scale double"), "vector-codes")
+    index = index.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "cid").join(coded, "cid")
     edges = index.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid").select("key", "i", "j", "cid", "dim", "code", "factor", "small", "scale")
     edges = edges.mapInArrow(_bucketed(threshold), "a long, b long").distinct()
+    edges = stored(edges, "vector-edges")
+    dropped(coded)
     clusters = connected_components(edges)
+    dropped(edges)
 
     sized = clusters.join(clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "root")
     members = sized.join(classes.select(F.col("cid").alias("node"), "mult", "vector"), "node")
