@@ -524,8 +524,8 @@ def test_mixer_learns_from_every_training_word(spark, monkeypatch):
     rows = []
     for bucket in range(4):
         part = sorted(counts)[bucket::4]
-        rows.append((bucket, lm_score._pack(b" ".join(part)), lm_score._pack(np.array([counts[w] for w in part], np.int64).tobytes())))
-    vocabulary = spark.createDataFrame(rows, "bucket long, words binary, counts binary")
+        rows.append((bucket, lm_score._pack(b" ".join(part)), lm_score._pack(np.array([counts[w] for w in part], np.int64).tobytes()), len(part)))
+    vocabulary = spark.createDataFrame(rows, "bucket long, words binary, counts binary, single long")
     weights, refined, paths = lm_score.train_mixer(vocabulary, 3)
     learned = vocabulary.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(lm_score._learned(3), "cell long, sum double, mass double")
     mass = learned.where(F.col("cell") < weights.size).agg(F.sum("mass")).first()[0]
@@ -539,8 +539,8 @@ def test_counts_of_contexts_are_exact_and_grow(spark):
     rows = []
     for bucket in range(3):
         part = sorted(counts)[bucket::3]
-        rows.append((bucket, lm_score._pack(b" ".join(part)), lm_score._pack(np.array([counts[w] for w in part], np.int64).tobytes())))
-    vocabulary = spark.createDataFrame(rows, "bucket long, words binary, counts binary")
+        rows.append((bucket, lm_score._pack(b" ".join(part)), lm_score._pack(np.array([counts[w] for w in part], np.int64).tobytes()), len(part)))
+    vocabulary = spark.createDataFrame(rows, "bucket long, words binary, counts binary, single long")
     paths = lm_score.train_mixer(vocabulary, 4)[2].toArrow()
     for bucket in range(3):
         words_ = sorted(counts)[bucket::3]
@@ -551,11 +551,20 @@ def test_counts_of_contexts_are_exact_and_grow(spark):
             bits = "".join(f"{c:08b}" for c in w + b" ")
             for k in range(len(bits)):
                 prefixes[bits[: k + 1]] += n
-                lasts[min(k // 8, 4), bits[max(0, k // 8 - 4) * 8 : k + 1]] += n
+                lasts[min(k // 8, 3), bits[max(0, k // 8 - 3) * 8 : k + 1]] += n
         at = 0
         for w in words_:
             bits = "".join(f"{c:08b}" for c in w + b" ")
             for k in range(len(bits)):
-                for context, want in ((5, [prefixes[bits[:k] + c] for c in "01"]), (4, [lasts[min(k // 8, 4), bits[max(0, k // 8 - 4) * 8 : k] + c] for c in "01"])):
+                for context, want in ((3, [prefixes[bits[:k] + c] for c in "01"]), (2, [lasts[min(k // 8, 3), bits[max(0, k // 8 - 3) * 8 : k] + c] for c in "01"])):
                     assert [got[context][0][at], got[context][1][at]] == want
                 at += 1
+
+
+def test_scores_do_not_depend_on_splits(spark):
+    rng = random.Random(24)
+    rows = [(i, prose(rng, rng.choice([0, 1, 40, 90]), 900), "en", "a", 0) for i in range(240)] + odd_rows()
+    df = spark.createDataFrame(rows, DOCS).select(F.col("doc_id").alias("id"), (toxicity.fold("doc_id", 10) != 0).alias("train"), "text")
+    got = [sorted((r.id or -1, r.score) for r in lm_score.score_texts(df.repartition(k)).collect()) for k in (1, 5, 16)]
+    for other in got[1:]:
+        assert [i for i, _ in other] == [i for i, _ in got[0]] and np.allclose([x for _, x in other], [x for _, x in got[0]], rtol=1e-6)
