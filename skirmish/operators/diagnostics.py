@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.quality import clip
+from .spread import totals_before
 
 
 def probability_bin(p: Column, bins: int) -> Column:
@@ -78,11 +79,11 @@ def strength(appearances: DataFrame, history: DataFrame, top: int = 15) -> DataF
 def strictly_below(rows: DataFrame, value: str, member: Column) -> DataFrame:
     """`rows` with percentile: the share of the members whose value is strictly less.
 
-    Members are counted by distinct value and summed over the values, so no window holds more than the distinct values.
+    Members are counted by distinct value and summed over the values range by range.
     """
-    counts = rows.groupBy(value).agg(F.count_if(member).alias("_here"))
-    run = counts.withColumns({"_below": F.coalesce(F.sum("_here").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_here").over(W.partitionBy())})
-    return rows.join(run, value).withColumn("percentile", F.try_divide(F.col("_below"), F.col("_all"))).drop("_here", "_below", "_all")
+    counts = rows.groupBy(value).agg(F.count_if(member).alias("_here_"))
+    run = totals_before(counts, F.col(value).asc(), "_here_").select(value, "_before", "_all")
+    return rows.join(run, value).withColumn("percentile", F.try_divide(F.col("_before"), F.col("_all"))).drop("_before", "_all")
 
 
 def crossing_weights(bouts: DataFrame, caliber: DataFrame, floor: float = 0.5, cap: float = 1.0, unknown: float = 0.30) -> DataFrame:

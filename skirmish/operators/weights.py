@@ -12,8 +12,18 @@ from .context import class_moves, layoffs, win_streaks
 from .reshape import appearances
 
 
+#: The flags of a bout, and what a bout without them has.
+FLAGS = {"ped_confirmed": ("boolean", False), "ped_flagged_fighter": ("string", None), "missed_weight": ("boolean", False), "missed_weight_fighter": ("string", None)}
+
+
+def flagged(bouts: DataFrame) -> DataFrame:
+    """Bouts with all flag columns; those that the input lacks say that nothing was found."""
+    return bouts.withColumns({c: F.lit(value).cast(kind) for c, (kind, value) in FLAGS.items() if c not in bouts.columns})
+
+
 def integrity_appearances(bouts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Weight of each appearance: only a winner's own flags count against it."""
+    bouts = flagged(bouts)
     dq = F.col("method_class") == "DQ"
     rows = appearances(bouts.withColumn("is_dq", dq), keep=("ped_confirmed", "ped_flagged_fighter", "missed_weight", "missed_weight_fighter", "is_dq"))
     mine = {
@@ -28,6 +38,7 @@ def integrity_appearances(bouts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def scored(bouts: DataFrame, dominance: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """Bouts with scheduled rounds, duration, the winner's score and decisiveness; with dominance, decisions move up by it."""
+    bouts = flagged(bouts)
     won_a, won_b = q.yes(F.col("winner") == F.col("fighter_a")), q.yes(F.col("winner") == F.col("fighter_b"))
     out = bouts.withColumns({"scheduled_rounds": q.scheduled_rounds(F.col("time_format")), "_cards": q.margins(F.col("details_text"), won_a, won_b)})
     seconds = (F.greatest(F.col("end_round"), F.lit(1)) - 1) * 300 + F.col("end_time_seconds")

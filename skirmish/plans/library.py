@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ratings import interval, match_quality, win_probability
+from ..operators.spread import totals_before
 
 #: Public names of the rating streams.
 LENSES = {"Wins": "canonical", "Finishes": "method", "Clean": "method_integrity", "Strength": "method_performance", "Complete": "method_integrity_performance", "Legacy": "whr"}
@@ -40,11 +41,10 @@ def leaderboard(current: DataFrame, rating: str = "mu", n: int = 25, least: int
 
 
 def ranked(current: DataFrame, rating: str = "mu", least: int = 3) -> DataFrame:
-    """Competition ranks among the eligible. Ranks follow from counts of distinct values, not from one window over all rows."""
+    """Competition ranks among the eligible. Ranks follow from running counts of distinct values, range by range."""
     rows = current.where((F.col("rating_periods") >= least) & F.col(rating).isNotNull())
-    counts = rows.groupBy(rating).count()
-    above = counts.withColumn("rank", F.coalesce(F.sum("count").over(W.orderBy(F.desc(rating)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1)
-    return rows.join(above.select(rating, "rank"), rating)
+    above = totals_before(rows.groupBy(rating).count(), F.desc(rating), "count")
+    return rows.join(above.select(rating, (F.col("_before") + 1).alias("rank")), rating)
 
 
 def top_by_group(rows: DataFrame, group: str, rating: str, n: int = 8) -> DataFrame:
@@ -174,8 +174,16 @@ def era_matrix(strength: DataFrame, years: list[int]) -> DataFrame:
 
 def metric_ranks(rows: DataFrame, metrics: list[str], group: str | None = None) -> DataFrame:
     """z-scores and ranks of each metric over all, or by group; with the mean rank and the spread of both."""
-    w = W.partitionBy(group) if group else W.partitionBy(F.lit(0))  # a ranking table, of listed competitors
-    out = rows.withColumns({f"z_{m}": (F.col(m) - F.avg(m).over(w)) / F.stddev_samp(m).over(w) for m in metrics} | {f"rank_{m}": F.rank().over(w.orderBy(F.col(m).desc_nulls_last())) for m in metrics})
+    if group:
+        w = W.partitionBy(group)
+        out = rows.withColumns({f"z_{m}": (F.col(m) - F.avg(m).over(w)) / F.stddev_samp(m).over(w) for m in metrics} | {f"rank_{m}": F.rank().over(w.orderBy(F.col(m).desc_nulls_last())) for m in metrics})
+    else:
+        line = rows.agg(*[f(m).alias(f"_{k}_{m}") for m in metrics for k, f in (("m", F.avg), ("s", F.stddev_samp))])
+        out = rows.crossJoin(F.broadcast(line)).withColumns({f"z_{m}": (F.col(m) - F.col(f"_m_{m}")) / F.col(f"_s_{m}") for m in metrics}).drop(*line.columns)  # one row
+        for m in metrics:
+            above = totals_before(rows.groupBy(m).count(), F.col(m).desc_nulls_last(), "count")
+            above = above.select(F.col(m).alias("_v"), (F.col("_before") + 1).cast("int").alias(f"rank_{m}"))
+            out = out.join(above, out[m].eqNullSafe(above["_v"])).drop("_v")
     z, r = [F.col(f"z_{m}") for m in metrics], [F.col(f"rank_{m}") for m in metrics]
     return out.withColumns({"mean_rank": sum(r, F.lit(0.0)) / len(r), "rank_spread": F.greatest(*r) - F.least(*r), "z_spread": F.greatest(*z) - F.least(*z)})
 

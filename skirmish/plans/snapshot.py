@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, GLICKO_STREAMS, Config
 from ..functions.ratings import idle_penalty
 from ..operators import context, diagnostics, kernels, periods, reshape, weights
+from ..operators.spread import components
 from ..sources.adapters import sequenced
 from ..sources.staging import cut
 
@@ -23,9 +24,16 @@ def with_context(bouts: DataFrame, history: DataFrame, cfg: Config = DEFAULT) ->
     return context.with_ranks(context.title_lineage(bouts), context.ranks(bouts, apps, history, cfg))
 
 
+def pooled(bouts: DataFrame) -> DataFrame:
+    """Bouts with their pool, named by the least name of all competitors that bouts join: pools are rated side by side."""
+    pools = components(bouts, "fighter_a", "fighter_b")
+    return bouts.join(pools.withColumnRenamed("name", "fighter_a"), "fighter_a")
+
+
 def run(bouts: DataFrame, rounds: DataFrame | None = None, odds: DataFrame | None = None, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
     """All tables of a rating run. Bouts: one row each with sides, result, division, titles, method and flags."""
-    bouts = cut(sequenced(bouts.where("not coalesce(is_excluded, false)") if "is_excluded" in bouts.columns else bouts), "bouts")
+    bouts = sequenced(bouts.where("not coalesce(is_excluded, false)") if "is_excluded" in bouts.columns else bouts)
+    bouts = cut(bouts if "pool" in bouts.columns else pooled(bouts), "bouts")
     dominance = cut(weights.bout_dominance(rounds, bouts), "dominance") if rounds is not None else None
     scored = weights.scored(bouts, dominance, cfg)
     base = cut(base_history(scored, cfg), "base")

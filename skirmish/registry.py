@@ -559,14 +559,16 @@ def caliber_percentiles(spark, sf_dir):
 
 
 CROSSING_SQL = CURRENT_SQL + """, f AS (SELECT mu FROM current WHERE rating_periods >= 3),
-cal AS (SELECT fighter, (SELECT count(*) FROM f WHERE f.mu < c.mu) / (SELECT count(*) FROM f) AS pct FROM current c WHERE CAST(substr(fighter, 2) AS INTEGER) % 3 <> 0),
+cal AS (SELECT CASE WHEN CAST(substr(fighter, 2) AS INTEGER) % 3 = 0 THEN 'Unknown ' ELSE '' END || fighter AS fighter, (SELECT count(*) FROM f WHERE f.mu < c.mu) / (SELECT count(*) FROM f) AS pct FROM current c),
 sx AS (SELECT bout_id, fighter, opponent FROM apps), inf AS (SELECT s.fighter, median(o.pct) AS pct FROM sx s LEFT JOIN cal m ON m.fighter = s.fighter LEFT JOIN cal o ON o.fighter = s.opponent WHERE m.pct IS NULL GROUP BY 1)"""
 
 
 @query(CROSSING_SQL + """ SELECT s.bout_id, round(least(1.0, greatest(0.5, avg(coalesce(c.pct, i.pct, 0.3)))), 6) AS fight_weight FROM sx s LEFT JOIN cal c ON c.fighter = s.fighter LEFT JOIN inf i ON i.fighter = s.fighter GROUP BY 1""")
 def crossing_weights(spark, sf_dir):
     g = Given(spark, sf_dir)
-    caliber = diagnostics.strictly_below(g.current, "mu", F.col("rating_periods") >= 3).where(F.substring("fighter", 2, 9).cast("int") % 3 != 0)
+    caliber = diagnostics.strictly_below(g.current, "mu", F.col("rating_periods") >= 3)
+    # every third one goes by a name that no bout has
+    caliber = caliber.withColumn("fighter", F.concat(F.when(F.substring("fighter", 2, 9).cast("int") % 3 == 0, "Unknown ").otherwise(""), "fighter"))
     return diagnostics.crossing_weights(g.bouts, caliber).withColumn("fight_weight", r("fight_weight"))
 
 
@@ -734,14 +736,14 @@ def source_coverage(spark, sf_dir):
 
 
 def _vendor(g: Given) -> DataFrame:
-    """Vendor odds for two bouts of three, some days off, sides turned for odd ones."""
+    """Vendor odds for all bouts, some days off, every third one far off; sides turned for odd ones."""
     odd = F.col("bout_id") % 2 == 1
     a, b = F.when(odd, F.col("fighter_b")).otherwise(F.col("fighter_a")), F.when(odd, F.col("fighter_a")).otherwise(F.col("fighter_b"))
-    rows = g.bouts.where("bout_id % 3 <> 0").select(a.alias("R_fighter"), b.alias("B_fighter"), (100 + F.col("qty_a")).alias("R_odds"), (-110 - F.col("qty_b")).alias("B_odds"), F.date_add("event_date", (F.col("bout_id") % 4).cast("int")).alias("odds_date"))
+    rows = g.bouts.select(a.alias("R_fighter"), b.alias("B_fighter"), (100 + F.col("qty_a")).alias("R_odds"), (-110 - F.col("qty_b")).alias("B_odds"), F.date_add("event_date", (F.col("bout_id") % 4 + F.when(F.col("bout_id") % 3 == 0, 30).otherwise(0)).cast("int")).alias("odds_date"))
     return rows.withColumn("pair_key", clean.pair_key(F.lower("R_fighter"), F.lower("B_fighter")))
 
 
-VENDOR_SQL = """, vendor AS (SELECT CASE WHEN bout_id % 2 = 1 THEN fighter_b ELSE fighter_a END AS rf, CASE WHEN bout_id % 2 = 1 THEN fighter_a ELSE fighter_b END AS bf, 100 + qty_a AS ro, -110 - qty_b AS bo, event_date + CAST(bout_id % 4 AS INTEGER) AS od FROM bouts WHERE bout_id % 3 <> 0),
+VENDOR_SQL = """, vendor AS (SELECT CASE WHEN bout_id % 2 = 1 THEN fighter_b ELSE fighter_a END AS rf, CASE WHEN bout_id % 2 = 1 THEN fighter_a ELSE fighter_b END AS bf, 100 + qty_a AS ro, -110 - qty_b AS bo, event_date + CAST(bout_id % 4 + CASE WHEN bout_id % 3 = 0 THEN 30 ELSE 0 END AS INTEGER) AS od FROM bouts),
 near AS (SELECT b.bout_id, b.fighter_a, v.*, abs(date_diff('day', v.od, b.event_date)) AS dd FROM bouts b JOIN vendor v ON least(v.rf, v.bf) = least(b.fighter_a, b.fighter_b) AND greatest(v.rf, v.bf) = greatest(b.fighter_a, b.fighter_b) WHERE abs(date_diff('day', v.od, b.event_date)) <= 2),
 best AS (SELECT *, row_number() OVER (PARTITION BY bout_id ORDER BY dd, od, ro) AS k FROM near),
 matched AS (SELECT bout_id, dd AS date_diff, CASE WHEN rf = fighter_a THEN ro ELSE bo END AS american_odds_a, CASE WHEN rf = fighter_a THEN bo ELSE ro END AS american_odds_b FROM best WHERE k = 1)"""
@@ -851,9 +853,10 @@ def tuned_ratings(spark, sf_dir):
     return snapshot.tuned(Given(spark, sf_dir).bouts, {"base": DEFAULT, "calm": DEFAULT.with_(tau=0.3)})
 
 
-@query()
+@query(""" SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'Lightweight' ELSE 'Flyweight' END AS division, CAST(s_suppkey % 20 + 1 AS INTEGER) AS rank, 'S' || s_suppkey AS fighter,
+  CASE WHEN s_suppkey % 3 <> 0 THEN CAST(20 + s_suppkey % 15 AS INTEGER) END AS age, '3-1-0' AS record, CAST(s_suppkey * 2 AS DOUBLE) AS points, '/fighter-profile/' || s_suppkey || '/' AS profile_url FROM supplier""", bouts=False)
 def ranking_pages(spark, sf_dir):
-    return raw.rankings(adapters.table(spark, sf_dir, "pages").select(F.lit("all").alias("division"), "html"))
+    return raw.rankings(adapters.ranking_pages(spark, sf_dir)).select("division", "rank", "fighter", "age", "record", "points", "profile_url")
 
 
 # ---- outside rankings, audits, cards
@@ -861,13 +864,13 @@ def ranking_pages(spark, sf_dir):
 
 def _outside(g: Given) -> DataFrame:
     """An outside ranking made of the suppliers: points by balance, rank by key, two rows for some names."""
-    rows = adapters.table(g.spark, g.dir, "supplier").where("s_suppkey % 4 <> 0")
-    once = rows.select(F.concat(F.lit(" s"), F.col("s_suppkey"), F.lit(" ")).alias("fighter"), (F.col("s_suppkey") % 20 + 1).cast("int").alias("rank"), F.when(F.col("s_nationkey") % 2 == 0, "Lightweight").otherwise("Flyweight").alias("division"), F.col("s_acctbal").alias("points"))
+    rows = adapters.table(g.spark, g.dir, "supplier")
+    once = rows.select(F.concat(F.when(F.col("s_suppkey") % 4 == 0, " unknown").otherwise(" s"), F.col("s_suppkey"), F.lit(" ")).alias("fighter"), (F.col("s_suppkey") % 20 + 1).cast("int").alias("rank"), F.when(F.col("s_nationkey") % 2 == 0, "Lightweight").otherwise("Flyweight").alias("division"), F.col("s_acctbal").alias("points"))
     twice = once.where("rank % 3 = 0").withColumns({"division": F.lit("Open"), "points": F.col("points") + 10})
     return names.with_name_key(once.unionByName(twice), "fighter")
 
 
-OUTSIDE_SQL = """, o1 AS (SELECT lower('s' || s_suppkey) AS name_key, CAST(s_suppkey % 20 + 1 AS INTEGER) AS rank, CASE WHEN s_nationkey % 2 = 0 THEN 'Lightweight' ELSE 'Flyweight' END AS division, s_acctbal AS points FROM supplier WHERE s_suppkey % 4 <> 0),
+OUTSIDE_SQL = """, o1 AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'unknown' ELSE 's' END || s_suppkey AS name_key, CAST(s_suppkey % 20 + 1 AS INTEGER) AS rank, CASE WHEN s_nationkey % 2 = 0 THEN 'Lightweight' ELSE 'Flyweight' END AS division, s_acctbal AS points FROM supplier),
 outside AS (SELECT * FROM o1 UNION ALL SELECT name_key, rank, 'Open', points + 10 FROM o1 WHERE rank % 3 = 0)"""
 
 

@@ -182,3 +182,13 @@ def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("bout_id"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("fighter"), F.col("l_linenumber").alias("round_num"),
         F.col("l_quantity").alias("sig_str_landed"), F.round(F.col("l_discount") * 100, 0).alias("sub_att"), F.round(F.col("l_tax") * 1000, 0).alias("ctrl_seconds"),
     )
+
+
+def ranking_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page with a ranking table for each nation and division, made of the suppliers, ages left out for every third one."""
+    c = F.col
+    name = F.concat(F.lit("S"), c("s_suppkey"), F.when(c("s_suppkey") % 3 != 0, F.concat(F.lit(" ("), (20 + c("s_suppkey") % 15).cast("int"), F.lit(")"))).otherwise(""))
+    cells = F.format_string("<tr><td>%d</td><td><a href='/fighter-profile/%d/'>%s</a></td><td>3-1-0</td><td>%d</td></tr>", (c("s_suppkey") % 20 + 1).cast("int"), c("s_suppkey").cast("long"), name, (c("s_suppkey") * 2).cast("long"))
+    rows = table(spark, sf_dir, "supplier").select("s_nationkey", F.when(c("s_nationkey") % 2 == 0, "Lightweight").otherwise("Flyweight").alias("division"), cells.alias("row"))
+    page = F.concat(F.lit("<html><table class='menu'><tr><td>1</td></tr></table><table class='tblRank'><tr><th>Rank</th></tr>"), F.array_join(F.array_sort(F.collect_list("row")), ""), F.lit("</table></html>"))
+    return rows.groupBy("s_nationkey", "division").agg(page.alias("html")).select("division", "html")

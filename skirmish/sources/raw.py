@@ -187,16 +187,12 @@ class ParseHistory:
 
 def rankings(pages: DataFrame) -> DataFrame:
     """Pages (division, html) to ranking rows."""
-    pages.sparkSession.udtf.register("parse_rankings", ParseRankings)
-    pages.createOrReplaceTempView("_ranking_pages")
-    return pages.sparkSession.sql("SELECT p.division, r.* FROM _ranking_pages p, LATERAL parse_rankings(p.html) r")
+    return pages.lateralJoin(ParseRankings(F.col("html").outer())).drop("html")
 
 
 def histories(pages: DataFrame) -> DataFrame:
     """Pages (fighter, html) to bouts with dates and method classes."""
-    pages.sparkSession.udtf.register("parse_history", ParseHistory)
-    pages.createOrReplaceTempView("_history_pages")
-    rows = pages.sparkSession.sql("SELECT p.fighter, r.* FROM _history_pages p, LATERAL parse_history(p.html) r")
+    rows = pages.lateralJoin(ParseHistory(F.col("html").outer())).drop("html")
     return rows.withColumns({"event_date": c.date_of(F.col("event_date_text"), "MMM d yyyy"), "method_class": c.crossing_method(F.col("method_raw")), "org": c.organisation(F.col("event_name"))}).drop("event_date_text")
 
 
