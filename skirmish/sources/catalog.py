@@ -99,3 +99,85 @@ def publish(spark: SparkSession, folder: str, database: str) -> DataFrame:
     manifest.write.mode("overwrite").saveAsTable(f"{database}.source_manifest")
     gaps(spark, list(tables)).write.mode("overwrite").saveAsTable(f"{database}.source_gaps")
     return spark.table(f"{database}.source_manifest")
+
+
+def listed(spark: SparkSession, database: str) -> list[str]:
+    """Tables of a database."""
+    return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
+
+
+def columns_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """A row for each column of the tables, with its place and type."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(name, i, column, kind) for name, df in sorted(tables.items()) for i, (column, kind) in enumerate(df.dtypes)]
+    return spark.createDataFrame(rows, "table_name string, place int, column_name string, type string")
+
+
+def sorted_count(spark: SparkSession, database: str) -> int:
+    """Columns that a published database's tables are sorted by, which stand for its indexes."""
+    return spark.table(f"{database}.source_manifest").agg(F.sum(F.size(F.split("sorted_by", ",")))).first()[0] or 0
+
+
+def modified(spark: SparkSession, path: str) -> DataFrame:
+    """When each file of a table was last written, in UTC."""
+    return spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("at")).groupBy("file").agg(F.date_format(F.to_utc_timestamp(F.max("at"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"))
+
+
+def load_database(spark: SparkSession, database: str) -> dict[str, DataFrame]:
+    """All known tables of a published database."""
+    return {name: spark.table(f"{database}.{name}") for name in listed(spark, database) if name in TABLES}
+
+
+def load_any(spark: SparkSession, folder: str, database: str | None = None, prefer_database: bool = False) -> dict[str, DataFrame]:
+    """A published database where it is wanted and holds the tables that must be, else the snapshot's files."""
+    if prefer_database and database and spark.catalog.databaseExists(database):
+        found = load_database(spark, database)
+        if {n for n, (must, _) in TABLES.items() if must} <= set(found):
+            return found
+    return load(spark, folder, register=False)
+
+
+def rendered(df: DataFrame) -> DataFrame:
+    """Values as a plain store takes them: dates and times as ISO text, nested ones as JSON, flags as 0 and 1."""
+    def value(name: str, kind: str):
+        c = F.col(f"`{name}`")
+        if kind == "date" or kind.startswith("timestamp"):
+            return F.date_format(c, "yyyy-MM-dd" if kind == "date" else "yyyy-MM-dd'T'HH:mm:ss").alias(name)
+        if kind.startswith(("array", "struct", "map")):
+            return F.to_json(c).alias(name)
+        return c.cast("int").alias(name) if kind == "boolean" else c
+
+    return df.select(*[value(n, k) for n, k in df.dtypes])
+
+
+def copied(spark: SparkSession, source: str, target: str, files: list[str]) -> list[str]:
+    """Copy the files that are there, on any file systems that Spark knows; returns their names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = []
+    for name in files:
+        a, b = jvm.org.apache.hadoop.fs.Path(f"{source}/{name}"), jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
+        if a.getFileSystem(conf).exists(a):
+            jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+            done.append(name)
+    return done
+
+
+def changelog_entry(date: str, counts: dict[str, int], old: DataFrame | None, new: DataFrame, rating: str = "mu") -> str:
+    """A run's summary as Markdown: counts, and how many competitors came, and moved by how much at the median and most."""
+    lines = [f"## {date}", "", *[f"- {name}: {n:,}" for name, n in counts.items()]]
+    if old is not None:
+        both = new.select("fighter", F.col(rating).alias("b")).join(old.select("fighter", F.col(rating).alias("a")), "fighter", "left")
+        row = both.agg(F.count_if(F.col("a").isNull()).alias("came"), F.median(F.abs(F.col("b") - F.col("a"))).alias("mid"), F.max(F.abs(F.col("b") - F.col("a"))).alias("most")).first()
+        lines += [f"- new competitors: {row.came:,}", f"- rating change: median {row.mid or 0:.1f}, most {row.most or 0:.1f}"]
+    return "\n".join([*lines, ""])
+
+
+def append_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a text at the end of a file on any file system that Spark knows; a file that isn't there begins with it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = "\n".join(r.value for r in spark.read.text(path).collect()) + "\n" if fs.exists(target) else ""  # a log's lines
+    out = fs.create(target, True)
+    out.write(bytearray((before + text).encode()))
+    out.close()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as c
 from ..functions.odds import american_to_decimal, enriched
+from .staging import cut
 
 #: The files of a raw export and the columns of each.
 RAW_FILES = {
@@ -86,7 +87,63 @@ def ingest_odds(bouts: DataFrame, vendor: DataFrame, existing: DataFrame | None
     return enriched(rows if existing is None else upserted(rows, existing.select(rows.columns), "bout_id"))
 
 
+#: Columns and types of raw odds.
+ODDS_SCHEMA = "bout_id long, fighter_a string, fighter_b string, american_odds_a double, american_odds_b double, decimal_odds_a double, decimal_odds_b double"
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def has_odds(spark: SparkSession, snapshot: str) -> bool:
+    return _there(spark, f"{snapshot}/odds_lines.parquet")
+
+
+def empty_odds(spark: SparkSession) -> DataFrame:
+    return enriched(spark.createDataFrame([], ODDS_SCHEMA))
+
+
+def odds_lines(spark: SparkSession, snapshot: str) -> DataFrame:
+    """A snapshot's odds with their probabilities; a typed empty table where it has none."""
+    return enriched(spark.read.parquet(f"{snapshot}/odds_lines.parquet")) if has_odds(spark, snapshot) else empty_odds(spark)
+
+
+def write_odds(bouts: DataFrame, vendor: DataFrame, snapshot: str) -> dict[str, int]:
+    """Match vendor odds, put them into a snapshot before older ones of other bouts, and count rows by quality."""
+    spark = bouts.sparkSession
+    columns = [c.split()[0] for c in ODDS_SCHEMA.split(", ")]
+    new = matched_odds(bouts, vendor).select(*columns)
+    if has_odds(spark, snapshot):
+        new = upserted(new, cut(spark.read.parquet(f"{snapshot}/odds_lines.parquet").select(*columns), "odds"), "bout_id")
+    new.write.mode("overwrite").parquet(f"{snapshot}/odds_lines.parquet")
+    counts = odds_lines(spark, snapshot).groupBy("odds_data_quality").count().collect()  # a row for each quality
+    return {r.odds_data_quality: r["count"] for r in counts}
+
+
+def aliases(spark: SparkSession, path: str) -> DataFrame:
+    """Other spellings of names (alias, fighter) from a CSV; an empty table where there is none."""
+    if not _there(spark, path):
+        return spark.createDataFrame([], "alias string, fighter string")
+    return spark.read.csv(path, header=True).select(F.trim("alias").alias("alias"), F.trim("fighter").alias("fighter")).where("alias <> '' and fighter <> ''")
+
+
+def lab_snapshot(spark: SparkSession, folder: str, out: str, files: dict[str, str | None]) -> dict[str, dict]:
+    """CSVs (name to their date column) as Parquet with clean headers; returns rows and dates of each."""
+    notes = {}
+    for name, date in files.items():
+        rows = snake_headers(spark.read.csv(f"{folder}/{name}.csv", header=True))
+        rows = day_first(rows, date) if date else rows
+        rows.write.mode("overwrite").parquet(f"{out}/{name}.parquet")
+        day = F.col(date) if date else F.lit(None).cast("date")
+        row = spark.read.parquet(f"{out}/{name}.parquet").agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("a"), F.max(day).alias("b")).first()
+        notes[name] = {"rows": row.n, "min_date": str(row.a) if row.a else None, "max_date": str(row.b) if row.b else None}
+    return notes
+
+
 def curated_findings(spark: SparkSession, path: str) -> DataFrame:
+    if not _there(spark, path):
+        return spark.createDataFrame([], "event_date date, event_name string, fighter string, substance string")
     rows = spark.read.csv(path, header=True)
     missing = {"event_date", "event_name", "fighter", "substance"} - set(rows.columns)
     if missing:
