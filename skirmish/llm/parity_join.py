@@ -159,7 +159,7 @@ def _keyed(n: int, num: int, den: int):
                 shingles, sizes = shingle_sets(texts[a:b], n, words)
                 classes = _classes(shingles, sizes)
                 fresh = np.zeros(b - a, bool)
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 for i, c in enumerate(classes):
                     if c is not None and c not in seen:
@@ -180,7 +180,7 @@ def _packed(batches):
         digests, blobs = [], []
         for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if d not in seen:
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(d)
                 digests.append(d)

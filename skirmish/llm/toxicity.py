@@ -19,7 +19,6 @@ are not read.
 from __future__ import annotations
 
 import math
-from array import array
 from collections import Counter
 
 import numpy as np
@@ -115,7 +114,7 @@ class Model(dict):
     """Scores of words (UTF-8), from the two tables of counts; looked up words are kept, up to a bound."""
 
     def __init__(self, n: np.ndarray, t: np.ndarray, base: float):
-        self.n, self.t, self.base = array("q", n.tobytes()), array("q", t.tobytes()), base
+        self.n, self.t, self.base = memoryview(n), memoryview(t), base
         self.stems: dict[str, float] = {}
         self.zero = math.log(base / (1 - base)) + DRIFT
 
