@@ -556,7 +556,7 @@ def test_counts_of_contexts_are_exact_and_grow(spark):
         for w in words_:
             bits = "".join(f"{c:08b}" for c in w + b" ")
             for k in range(len(bits)):
-                for context, want in ((3, [prefixes[bits[:k] + c] for c in "01"]), (2, [lasts[min(k // 8, 3), bits[max(0, k // 8 - 3) * 8 : k] + c] for c in "01"])):
+                for context, want in ((2, [prefixes[bits[:k] + c] for c in "01"]), (1, [lasts[min(k // 8, 3), bits[max(0, k // 8 - 3) * 8 : k] + c] for c in "01"])):
                     assert [got[context][0][at], got[context][1][at]] == want
                 at += 1
 
