@@ -32,8 +32,9 @@ from .common import connected_components, dropped, mix64, read_table, runs, stor
 
 #: Least probability that a pair at the threshold meets in a bucket; the bound's width; bits of a code at least.
 RECALL, EPS, CODE_BITS = 0.995, 3.0, 256
-#: Vectors of a cluster that are compared in one piece of work; vectors of a bucket that one piece of work takes; pairs whose bounds are computed at once.
-BLOCK, BUCKET, PAIRS = 256, 8192, 4096
+#: Vectors of a cluster that are compared in one piece of work; vectors of a bucket that one piece of work takes; pairs whose bounds are
+#: computed at once; vectors of a bucket up to which all pairs are looked at together.
+BLOCK, BUCKET, PAIRS, SMALL = 256, 8192, 4096, 48
 
 
 def layout(n: int, threshold: float) -> tuple[int, int]:
@@ -143,15 +144,25 @@ class _Bucket:
     def edges(self, threshold: float):
         """Pairs that join all vectors whose bounds don't part them: fewer than there are vectors."""
         every, group = np.arange(len(self.cid)), np.arange(len(self.cid))
+
+        def joined(k, h):
+            group[group == group[h]] = group[k]
+            return int(self.cid[k]), int(self.cid[h])
+
+        if len(every) <= SMALL:  # few enough for one look at all pairs
+            i, j = np.triu_indices(len(every), 1)
+            for k in np.flatnonzero(self.close(i, j, threshold)):
+                if group[i[k]] != group[j[k]]:
+                    yield joined(i[k], j[k])
+            return
         for k in every:
             if k and group[k] == group[0]:
                 continue  # what the first vector took in is met by the others
             others = every[group != group[k]]
-            hit = others[self.close(np.full(len(others), k), others, threshold) | self.close(others, np.full(len(others), k), threshold)]
+            hit = others[self.close(np.full(len(others), k), others, threshold)]
             _, first = np.unique(group[hit], return_index=True)
             for h in hit[first]:
-                yield int(self.cid[k]), int(self.cid[h])
-                group[group == group[h]] = group[k]
+                yield joined(k, h)
 
 
 def _bucketed(threshold: float):
