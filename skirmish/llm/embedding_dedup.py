@@ -249,3 +249,28 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+#: DuckDB: cosines of all pairs of different vectors, then what each vector reaches. Equal vectors are one class.
+SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS x, md5(embedding::VARCHAR) AS cid,
+         coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda y: coalesce(isfinite(y), false))) = len(embedding)
+                  AND len(list_filter(embedding, lambda y: y <> 0)) > 0, false) AS sound FROM embeddings
+), c AS MATERIALIZED (
+  SELECT cid, x, len(x) AS dim, mult, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS norm
+  FROM (SELECT cid, any_value(x) AS x, count(*) AS mult FROM v WHERE sound GROUP BY cid)
+), e AS MATERIALIZED (
+  SELECT a.cid AS a, b.cid AS b, b.mult FROM c a JOIN c b ON a.dim = b.dim AND a.cid <> b.cid
+  WHERE CASE WHEN a.dim = b.dim THEN list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.95 END
+), reach AS (
+  SELECT cid, cid AS other FROM c UNION SELECT r.cid, e.b FROM reach r JOIN e ON r.other = e.a
+), k AS (
+  SELECT r.cid, min(v.vec_id) AS component_id FROM reach r JOIN v ON r.other = v.cid GROUP BY r.cid
+), n AS (
+  SELECT c.cid, (c.mult - 1 + coalesce((SELECT sum(e.mult) FROM e WHERE e.a = c.cid), 0))::BIGINT AS n_links FROM c
+)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(k.component_id, v.vec_id) AS component_id,
+       v.vec_id = coalesce(k.component_id, v.vec_id) AS kept
+FROM v LEFT JOIN k ON v.sound AND v.cid = k.cid LEFT JOIN n ON v.sound AND v.cid = n.cid
+"""

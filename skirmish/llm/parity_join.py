@@ -425,3 +425,30 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = jaccard_components(docs, n=3, num=90, den=100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+#: DuckDB: all pairs of sets that share a shingle, then what each set reaches. A set is known by a digest of its sorted shingles.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_sort(list_distinct(
+    list_transform(list_zip(words[:-3], words[2:-2], words[3:]), lambda x: x[1] || ' ' || x[2] || ' ' || x[3]))) END AS shingles FROM w
+), d AS MATERIALIZED (
+  SELECT doc_id, shingles, len(shingles) AS n, CASE WHEN len(shingles) > 0 THEN md5(array_to_string(shingles, chr(10))) END AS cid FROM s
+), c AS MATERIALIZED (
+  SELECT cid, n, any_value(shingles) AS shingles FROM d WHERE cid IS NOT NULL GROUP BY cid, n
+), g AS (
+  SELECT cid, n, unnest(shingles) AS shingle FROM c
+), l AS (
+  SELECT a.cid AS a, b.cid AS b FROM g a JOIN g b ON a.shingle = b.shingle AND a.cid < b.cid
+  GROUP BY a.cid, b.cid, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), e AS MATERIALIZED (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT cid, cid AS other FROM c UNION SELECT r.cid, e.b FROM reach r JOIN e ON r.other = e.a
+), k AS (
+  SELECT r.cid, min(d.doc_id) AS component_id FROM reach r JOIN d ON r.other = d.cid GROUP BY r.cid
+)
+SELECT d.doc_id, d.n AS n_shingles, coalesce(k.component_id, d.doc_id) AS component_id FROM d LEFT JOIN k ON d.cid = k.cid
+"""

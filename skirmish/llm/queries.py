@@ -21,5 +21,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_embedding_dedup": embedding_dedup.SQL,
+    "op10_parity_join": parity_join.SQL,
     "op2_sharding": sharding.SQL,
 }

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -269,3 +270,15 @@ def test_a_bucket_of_vectors_gives_a_forest():
     coded = [(0, *r.values()) for b in dedup._coded([batch]) for r in b.to_pylist()]
     edges = list(dedup._Bucket(coded).edges(0.95))
     assert len(edges) < len(x) and len({frozenset(e) for e in edges}) == len(edges) >= 299
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_sql_gives_the_same_rows(spark, sample, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sample[0]}/{table}.parquet/*.parquet')")
+    found = con.execute(queries.ORACLE[name])
+    names = [c[0] for c in found.description]
+    want = sorted((dict(zip(names, r)) for r in found.fetchall()), key=str)
+    rows = run(spark, sample, name)
+    assert set(names) == set(rows[0].asDict()) and sorted(({c: r[c] for c in names} for r in rows), key=str) == want
