@@ -568,3 +568,18 @@ def test_scores_do_not_depend_on_splits(spark):
     got = [sorted((r.id or -1, r.score) for r in lm_score.score_texts(df.repartition(k)).collect()) for k in (1, 5, 16)]
     for other in got[1:]:
         assert [i for i, _ in other] == [i for i, _ in got[0]] and np.allclose([x for _, x in other], [x for _, x in got[0]], rtol=1e-6)
+
+
+def test_every_word_is_spelled():
+    import pyarrow as pa
+
+    words = [b"alpha", b"beta", b"gamma"]  # in four training texts, in two, in one
+    table = pa.table({"bucket": [0], "words": [lm_score._pack(b" ".join(words))], "counts": [lm_score._planes(np.array([5, 3, 1]))], "texts": [lm_score._planes(np.array([4, 2, 1]))]})
+    left = lm_score._summed(table)
+    told = pa.Table.from_batches(lm_score._asking(2)(iter(left.select(["bucket", "words", "counts"]).to_batches())))
+    right = pa.concat_tables([lm_score._sharded(told.filter(pa.compute.equal(told["shard"], k))) for k in sorted(set(told["shard"].to_pylist()))])
+    learned = lm_score._learned(2)(left, right)
+    assert learned.num_rows
+    mixer = lm_score.Mixer(np.zeros(0), np.zeros(0))
+    logs = np.frombuffer(lm_score._unpack(lm_score._logs(2, mixer.weights, mixer.refined)(left, right)["logs"][0].as_py()), np.float64)
+    assert len(logs) == 3 and np.isfinite(logs).all() and (logs < 0).all()
