@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import quality as q
-from .context import class_moves, layoffs, win_streaks
+from ..sources.staging import cut
+from .context import by_bout, entering, moved
 from .reshape import appearances
 
 
@@ -80,22 +81,22 @@ def performance_appearances(bouts: DataFrame, prior: DataFrame, odds: DataFrame
     winner's weight, and the loser's mirrors it unless a class move down or a layoff makes the loss count more.
     """
     swap = ("division_rank", "p4p_rank", "entered_champion", "entered_interim")
-    rows = appearances(bouts, swap, ("quality_score", "decisiveness", "bout_seconds", "scheduled_rounds"))
-    rows = class_moves(layoffs(win_streaks(rows)))
-    before = prior.select("event_seq", "fighter", "prefight_mu")
-    rows = rows.join(before, ["event_seq", "fighter"], "left").join(before.select("event_seq", F.col("fighter").alias("opponent"), F.col("prefight_mu").alias("opponent_mu")), ["event_seq", "opponent"], "left")
-    rows = rows.fillna({"prefight_mu": cfg.mu0, "opponent_mu": cfg.mu0})
-    other = rows.select("bout_id", F.col("fighter").alias("opponent"), F.col("streak").alias("opponent_streak"))
-    rows = rows.join(other, ["bout_id", "opponent"])
+    known = bouts.where("fighter_a is not null and fighter_b is not null")
+    brought = ("streak", "prefight_mu", "previous_division", "activity_gap_days")
+    rows = known.join(by_bout(entering(appearances(known), prior), brought), "bout_id")
     if odds is None:
-        rows = rows.withColumn("american", F.lit(None).cast("double"))
+        rows = rows.withColumns({f"american_{s}": F.lit(None).cast("double") for s in "ab"})
+        ends = rows.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(k) for k in ("most_up", "most_down")])
     else:
         from ..functions.odds import decimal_to_american
 
-        american = {s: F.coalesce(F.col(f"american_odds_{s}"), decimal_to_american(F.col(f"decimal_odds_{s}"))) for s in "ab"}
-        priced = odds.where("odds_data_quality = 'ok'").select("bout_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), american[s].alias("american")) for s in "ab"])).alias("_o")).select("bout_id", "_o.*")
-        rows = rows.join(priced, ["bout_id", "side"], "left")
-    ends = rows.agg(F.max(F.when(F.col("american") > 0, F.col("american"))).alias("most_up"), F.max(F.when(F.col("american") < 0, -F.col("american"))).alias("most_down"))
+        american = [F.coalesce(F.col(f"american_odds_{s}"), decimal_to_american(F.col(f"decimal_odds_{s}"))).alias(f"american_{s}") for s in "ab"]
+        priced = cut(odds.where("odds_data_quality = 'ok'").select("bout_id", *american).join(known.select("bout_id"), "bout_id", "left_semi"), "odds")
+        up, down = ([F.when(F.col(f"american_{s}") * sign > 0, F.col(f"american_{s}") * sign) for s in "ab"] for sign in (1, -1))
+        ends = priced.agg(F.max(F.greatest(*up)).alias("most_up"), F.max(F.greatest(*down)).alias("most_down"))
+        rows = rows.join(priced, "bout_id", "left")
+    rows = appearances(rows, (*swap, *brought, "american"), ("quality_score", "decisiveness", "bout_seconds", "scheduled_rounds"))
+    rows = moved(rows.withColumnRenamed("opponent_prefight_mu", "opponent_mu").drop("opponent_previous_division", "opponent_activity_gap_days", "opponent_american")).fillna({"prefight_mu": cfg.mu0, "opponent_mu": cfg.mu0})
     rows = rows.crossJoin(F.broadcast(ends))  # one row
     c = F.col
     gap = q.effective_rank(c("division_rank"), c("entered_champion"), c("entered_interim"), cfg) - q.effective_rank(c("opponent_division_rank"), c("opponent_entered_champion"), c("opponent_entered_interim"), cfg)

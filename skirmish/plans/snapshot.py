@@ -21,7 +21,7 @@ def base_history(bouts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 def with_context(bouts: DataFrame, history: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Bouts with title lineage and both sides' ranks before the event."""
     apps = reshape.appearances(bouts)
-    return context.with_ranks(context.title_lineage(bouts), context.ranks(bouts, apps, history, cfg))
+    return context.with_ranks(context.title_lineage(bouts), cut(context.ranks(bouts, apps, history, cfg), "ranks"))
 
 
 def pooled(bouts: DataFrame) -> DataFrame:

@@ -26,14 +26,17 @@ METHOD_OF = (("AF", "KO/TKO"), ("AO", "Submission"), ("NF", "Decision - Unanimou
 def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bout for each order with two suppliers: side a is its first line, side b the first later line of another one.
 
-    One exchange on the order key serves the window and the aggregate; orders and parts join afterwards.
+    One exchange and one sort on the order key serve all windows; orders and parts join afterwards.
     """
     # dealt out with plain columns: the structs below would carry most of them twice
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus").repartition("l_orderkey")
-    place = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), "l_returnflag", "l_linestatus")
-    first = F.first_value("l_suppkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity"))
-    sides = line.select("l_orderkey", "l_suppkey", place.alias("place"), first.alias("lead"))
-    sides = sides.groupBy("l_orderkey").agg(F.min("place").alias("a"), F.min(F.when(F.col("l_suppkey") != F.col("lead"), F.col("place"))).alias("b")).where("b is not null")
+    line = line.withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    place = ("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "revenue", "l_returnflag", "l_linestatus")
+    order = W.partitionBy("l_orderkey").orderBy(*place)
+    till = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = line.select("l_orderkey", *place, F.row_number().over(order).alias("_n"), (F.col("l_suppkey") != F.first("l_suppkey").over(till)).alias("_other"))
+    rows = rows.withColumn("_others", F.count_if(F.col("_other")).over(till)).where("_n = 1 or (_other and _others = 1)")  # both sides, one after the other
+    sides = rows.select("l_orderkey", "_n", F.struct(*place).alias("a"), F.lead(F.struct(*place)).over(order).alias("b")).where("_n = 1 and b is not null").drop("_n")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("event_date"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     joined = sides.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("a.l_partkey") == F.col("p_partkey"))
@@ -128,7 +131,7 @@ WITH lines AS (
 def sequenced(bouts: DataFrame) -> DataFrame:
     """Bouts with event_seq, the rank of their event. Events are few beside bouts: the rank is taken over the distinct ones and joined back."""
     events = bouts.select("event_date", "event_name").distinct()
-    return bouts.join(events.withColumn("event_seq", F.dense_rank().over(W.orderBy("event_date", "event_name"))), ["event_date", "event_name"])
+    return bouts.join(F.broadcast(events.withColumn("event_seq", F.dense_rank().over(W.orderBy("event_date", "event_name")))), ["event_date", "event_name"])
 
 
 def surrogate_history(appearances: DataFrame) -> DataFrame:
