@@ -148,7 +148,9 @@ def odds(spark: SparkSession, sf_dir: str, bouts: DataFrame) -> DataFrame:
     joined = bouts.select("bout_id", "fighter_a", "fighter_b", "winner", "is_draw", "event_date")
     for side in "ab":
         joined = joined.join(supplier.select(F.col("name").alias(f"fighter_{side}"), F.col("s_acctbal").alias(f"bal_{side}")), f"fighter_{side}")
-    edge = F.round((F.col("bal_a") - F.col("bal_b")) / 20, 0)
+    # dealt out with the rounded edge: else each of the many expressions above would round anew
+    joined = joined.withColumn("edge", F.round((F.col("bal_a") - F.col("bal_b")) / 20, 0)).repartition("bout_id")
+    edge = F.col("edge")
     line = F.when(edge >= 0, -100 - edge).otherwise(100 - edge)
     return joined.select(
         "bout_id", "fighter_a", "fighter_b", "winner", "is_draw", "event_date",
