@@ -206,3 +206,37 @@ def test_the_rest_stands_without_the_training_data_operators(tmp_path):
 def test_schema_notes_name_all_columns(spark):
     note = json.loads(raw.schema_note(spark.createDataFrame([(1, "x")], "a int, b string"), ["a"], "row"))
     assert note["primary_key"] == ["a"] and [c["name"] for c in note["columns"]] == ["a", "b"]
+
+
+def test_periods_of_streams_side_by_side_equal_those_of_rows_for_each_stream(spark):
+    import datetime
+    import random
+
+    draw, rows = random.Random(5), []
+    for i in range(900):
+        title, won = draw.random() < 0.3, draw.random() < 0.5
+        day = datetime.date(2000, 1, 1) + datetime.timedelta(days=draw.randrange(3000))
+        mus = [draw.gauss(1500, 90) if draw.random() < 0.8 else None for _ in range(3)]
+        rows.append((f"f{i % 12}", day, f"Card {day}", i, draw.choice(["Flyweight", "Lightweight", None]), title, float(won), draw.choice([0.0, 0.5, 1.5]), draw.choice([None, 4.0, -2.5]), draw.random(), int(title), int(title and won), 0, mus))
+    kinds = "fighter string, event_date date, event_name string, bout_id long, division string, is_title boolean, actual_score double, period_weight double, adjustment double, opp_weight double, t_bout int, t_win int, t_defense int, mus array<double>"
+    wide, streams, specs = spark.createDataFrame(rows, kinds), ["x", "y", "z"], {"short": (400, 8, 6), "long": (1825, 8, 6)}
+    each = wide.select("*", F.posexplode("mus")).where("col is not null").withColumns({"stream": F.array(*map(F.lit, streams))[F.col("pos")], "mu": F.col("col")}).drop("pos", "col", "mus")
+    old, found = periods.normalised(each), periods.normalised_side_by_side(wide, streams)
+    assert old.where("abs(mu - mu_norm) > 1").count() > 100
+    best = periods.best_side_by_side(found, specs, streams)
+    for label, spec in specs.items():
+        a, b = ({(r.stream, r.fighter): r for r in x.collect()} for x in (periods.best_periods(old, *spec), best[label]))
+        assert a and a.keys() == b.keys()
+        for k, one in a.items():
+            assert (one.n, one.end_rn) == (b[k].n, b[k].end_rn) and all(abs(one[c] - b[k][c]) < 1e-6 for c in ("period_score", "headline_score", "score", "effective", "so", "ladder", "var")), k
+
+
+def test_a_lean_run_stores_no_table_longer_than_it_is_read(spark, monkeypatch):
+    stored, taken = [], []
+    put, drop = snapshot.cut, snapshot.dropped
+    monkeypatch.setattr(snapshot, "cut", lambda df, name: stored.append((name, out := put(df, name))) or out)
+    monkeypatch.setattr(snapshot, "dropped", lambda *tables: taken.extend(tables) or drop(*tables))
+    rows = registry.QUERIES["rating_run"](spark, SF).toPandas()
+    assert len(rows) == 10 and rows.mu_canonical.is_monotonic_decreasing and rows.mu_whr_performance.notna().all()
+    left = {name for name, df in stored if not any(df is x for x in taken)}
+    assert {"now", "last", "bouts"} <= left and not left & {"base", "sleeves", "whr", "performance", "weighted", "beside", "dominance"}
