@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skirmish.llm import decontaminate, embedding_dedup, licenses, lm_score, packing, parity_join, pii, sharding, toxicity, url_filter
+from skirmish.llm import common, decontaminate, embedding_dedup, licenses, lm_score, packing, parity_join, pii, sharding, toxicity, url_filter
 from skirmish.llm.common import connected_components, tune, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -583,3 +584,45 @@ def test_every_word_is_spelled():
     mixer = lm_score.Mixer(np.zeros(0), np.zeros(0))
     logs = np.frombuffer(lm_score._unpack(lm_score._logs(2, mixer.weights, mixer.refined)(left, right)["logs"][0].as_py()), np.float64)
     assert len(logs) == 3 and np.isfinite(logs).all() and (logs < 0).all()
+
+
+def test_lm_score_holds_shares_of_a_bounded_number_of_texts():
+    import tracemalloc
+
+    n, rng = 20_000, np.random.default_rng(5)
+    lengths = rng.integers(1, 4, n)
+    p, gate = rng.random((lengths.sum(), lm_score.INPUTS)) * 0.1 + 1e-4, rng.integers(0, lm_score.GATES, lengths.sum())
+    shares = rng.dirichlet(np.ones(lm_score.INPUTS), lm_score.GATES)
+    tracemalloc.start()
+    got = lm_score.text_scores(p, gate, lengths, shares)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # shares of all texts at once are 67 MB
+    first = np.cumsum(lengths) - lengths
+    for k in (0, 4095, 4096, n - 1):
+        part = slice(first[k], first[k] + lengths[k])
+        assert np.allclose(got[k], lm_score.text_scores(p[part], gate[part], lengths[k : k + 1], shares)[0])
+
+
+def test_stored_tables_of_large_rows_have_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    def run(batches):
+        rng = np.random.default_rng(2)
+        for _ in batches:
+            for k in range(48):
+                yield pa.record_batch([pa.array([k]), pa.array([rng.bytes(1 << 20)], pa.binary())], ["k", "blob"])
+
+    kept = common.stored(spark.range(1).coalesce(1).mapInArrow(common.released(run), "k long, blob binary"), "test-groups")
+    sizes = [m.row_group(k).total_byte_size for f in kept.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for k in range(m.num_row_groups)]
+    assert sum(sizes) > 48 << 20 and max(sizes) < 2 * common.GROUP_BYTES
+    assert kept.selectExpr("count(*)", "sum(k)", "min(length(blob))").first() == (48, 1128, 1 << 20)
+    common.dropped(kept)
+
+
+def test_a_map_hands_memory_back_when_it_ends(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    passing = common.released(lambda batches: (2 * b for b in batches))([1, 2])
+    assert next(passing) == 2 and not calls
+    assert list(passing) == [4] and calls == [1]
