@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import read_table
+from .common import read_table, released
 
 #: Share of an item's characters that may be edited, and characters that a piece has at least.
 EDIT_SHARE, LEAST_PIECE = 0.1, 10
@@ -180,7 +180,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()),
                 ], ["id", "item_id", "distance", "start", "end"])
 
-        out = out.union(texts.mapInArrow(run, schema))
+        out = out.union(texts.mapInArrow(released(run), schema))
     return out
 
 
@@ -196,7 +196,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             for batch in batches:
                 yield batch.filter(pa.array([not match(text) for text in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(released(run), schema)
     return docs
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, released
 
 WINDOW, END = 2048, 1
 #: Penalties, in ids of padding, of a cut at a sentence's end and inside a sentence; the longest stretch without a place to cut.
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         if rows := packer.solve(True):
             yield batch_of(rows)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(released(run), schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

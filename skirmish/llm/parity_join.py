@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, dropped, fresh_name, groups_of, mix64, read_table, runs, shingle_sets, stored
+from .common import WordHashes, connected_components, dropped, fresh_name, groups_of, mix64, read_table, released, runs, shingle_sets, stored
 
 #: Each size band's upper end is this much of its lower end.
 BAND = 1.5
@@ -348,7 +348,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     """Those of `pairs` (a, b) whose whole shingle sets reach the similarity. Compressed texts move: they are a quarter of the sets."""
     with_a = pairs.join(texts.select(F.col("cid").alias("a"), F.col("blob").alias("x")), "a")
     with_both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("blob").alias("y")), "b")
-    return with_both.select("a", "b", "x", "y").mapInArrow(_checked(n, num, den), "a long, b long")
+    return with_both.select("a", "b", "x", "y").mapInArrow(released(_checked(n, num, den)), "a long, b long")
 
 
 def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
@@ -381,16 +381,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row: id, n_shingles, class (cid) and component_id, the smallest id reachable over links of num / den or more."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
-    rows = stored(texts.mapInArrow(_sized(n), f"id {id_type}, digest long, n_shingles long, cid long"), "parity-rows")
+    rows = stored(texts.mapInArrow(released(_sized(n)), f"id {id_type}, digest long, n_shingles long, cid long"), "parity-rows")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("digest").alias("digest"), F.first("n_shingles").alias("n"))
-    shared = stored(_buckets(texts.select("text").mapInArrow(_keyed(n, num, den), "key long, cid long"), classes, num, den), "parity-buckets")
+    shared = stored(_buckets(texts.select("text").mapInArrow(released(_keyed(n, num, den)), "key long, cid long"), classes, num, den), "parity-buckets")
 
     wanted = classes.join(shared.select("cid").distinct(), "cid", "left_semi")
-    blobs = texts.select("digest", "text").mapInArrow(_packed, "digest long, blob binary").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
-    held = stored(blobs.select("blob").mapInArrow(_described(n), "cid long, blob binary, size long, sketch binary"), "parity-texts")
+    blobs = texts.select("digest", "text").mapInArrow(released(_packed), "digest long, blob binary").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    held = stored(blobs.select("blob").mapInArrow(released(_described(n)), "cid long, blob binary, size long, sketch binary"), "parity-texts")
 
     work = _dealt(shared.join(held.select("cid", "size", "sketch"), "cid"), "size", "sketch")
-    links = stored(_verified(work.mapInArrow(_near(num, den), "a long, b long").distinct(), held, n, num, den), "parity-links")
+    links = stored(_verified(work.mapInArrow(released(_near(num, den)), "a long, b long").distinct(), held, n, num, den), "parity-links")
     roots = connected_components(links)
 
     # What is left: links between different components. Only buckets that hold two components take part, and of them the rows that sketches don't part.
@@ -398,10 +398,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     mixed = placed.select("*", F.min("root").over(by_bucket).alias("r0"), F.max("root").over(by_bucket).alias("r1")).where("r0 != r1").select("bucket", "cid", "root", "blocks")
     work = _dealt(mixed.join(held.select("cid", "size", "sketch"), "cid"), "root", "size", "sketch")
-    alike = stored(work.mapInArrow(_alike(num, den), "bucket long, cid long").distinct(), "parity-alike")
+    alike = stored(work.mapInArrow(released(_alike(num, den)), "bucket long, cid long").distinct(), "parity-alike")
     alike = alike.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(held.select("cid", "size", "blob"), "cid")
     alike = alike.withColumn("blocks", F.ceil(F.sum("size").over(by_bucket) / BLOCK_SHINGLES).cast("long"))
-    more = _dealt(alike, "root", "size", "blob").mapInArrow(_linked(n, num, den), "a long, b long")
+    more = _dealt(alike, "root", "size", "blob").mapInArrow(released(_linked(n, num, den)), "a long, b long")
     links = stored(links.union(more), "parity-links")
     dropped(shared, held)
     roots = connected_components(links)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, released
 
 #: The kinds by their order, the base ones first.
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
@@ -210,7 +210,7 @@ def learn(texts: DataFrame) -> dict[int, np.ndarray]:
             pa.array([list(k[2]) for k in keys], pa.list_(pa.int32())), pa.array([tally[k] for k in keys], pa.int64()),
         ], ["kind", "votes", "features", "n"])
 
-    counted = texts.select("text").mapInArrow(count, "kind int, votes array<int>, features array<int>, n long")
+    counted = texts.select("text").mapInArrow(released(count), "kind int, votes array<int>, features array<int>, n long")
     rows = counted.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")).collect()
     out = {}
     for kind in (4, 5):
@@ -246,7 +246,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got], pa.string()), pa.array([joined(every) for _, every in got], pa.string()),
             ], ["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return texts.mapInArrow(released(run), f"id {texts.schema['id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask(text: str | None, model: dict[int, np.ndarray]) -> str | None:
@@ -271,7 +271,7 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = pa.array([mask(t, model) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.record_batch([texts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
